@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from stemma.llm import sharding
+from stemma.llm import mixing, sharding
 
-QUERIES = {"op7_sharding": sharding.op7_sharding}
+QUERIES = {
+    "op5_mixing": mixing.op5_mixing,
+    "op7_sharding": sharding.op7_sharding,
+}
 
 ORACLES = {"op7_sharding": sharding.OP7_SQL}

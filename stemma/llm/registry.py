@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from stemma.llm import mixing, sharding
+from stemma.llm import mixing, sharding, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op7_sharding": sharding.op7_sharding,
 }

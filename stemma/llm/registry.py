@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from stemma.llm import mixing, sharding, simhash
+from stemma.llm import linededup, mixing, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op5_mixing": mixing.op5_mixing,
     "op7_sharding": sharding.op7_sharding,
+    "op10_linededup": linededup.op10_linededup,
 }
 
-ORACLES = {"op7_sharding": sharding.OP7_SQL}
+ORACLES = {
+    "op7_sharding": sharding.OP7_SQL,
+    "op10_linededup": linededup.OP10_SQL,
+}

@@ -17,24 +17,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]")), F.lit(0)).cast("long")
 
 
-def map_arrow(rows: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(source: DataFrame, function, schema, rows: int = 1024) -> DataFrame:
     """``mapInArrow`` over record batches in pieces of bounded bytes.
 
     Spark cuts batches by rows; texts may be long, so each batch is handed on in
-    slices of at most 1,024 rows and the results leave as soon as they are made.
+    slices of at most ``rows`` rows and the results leave as soon as they are made.
     """
 
     def pieces(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                yield batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
 
     def run(batches):
         yield from function(pieces(batches))
 
-    return rows.mapInArrow(run, schema)
-
-
-def batch_of(columns: dict[str, pa.Array | list], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    arrays = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, types[k]) for k, c in columns.items()]
-    return pa.RecordBatch.from_arrays(arrays, schema=pa.schema([(k, types[k]) for k in columns]))
+    return source.mapInArrow(run, schema)

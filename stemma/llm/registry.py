@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stemma.llm import linededup, mixing, quality, sharding, simhash
+from stemma.llm import chunks, linededup, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
+    "op6_chunks": chunks.op6_chunks,
     "op7_sharding": sharding.op7_sharding,
     "op10_linededup": linededup.op10_linededup,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stemma.llm import chunks, linededup, mixing, quality, sharding, simhash
+from stemma.llm import chunks, langid, linededup, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_chunks": chunks.op6_chunks,
     "op7_sharding": sharding.op7_sharding,
+    "op9_langid": langid.op9_langid,
     "op10_linededup": linededup.op10_linededup,
 }
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stemma.llm import chunks, langid, linededup, mixing, quality, sharding, simhash
+from stemma.llm import chat, chunks, langid, linededup, mixing, quality, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_chat": chat.op3_chat,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_chunks": chunks.op6_chunks,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_chat": chat.OP3_SQL,
     "op7_sharding": sharding.OP7_SQL,
     "op10_linededup": linededup.OP10_SQL,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from stemma.llm import chat, chunks, langid, linededup, mixing, quality, sharding, simhash
+from stemma.llm import chat, chunks, langid, linededup, mixing, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_urls": urls.op2_urls,
     "op3_chat": chat.op3_chat,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stemma.llm import chat, chunks, langid, linededup, mixing, quality, sharding, simhash, urls
+from stemma.llm import chat, chunks, langid, linededup, mixing, pieces, quality, sharding, simhash, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_chunks": chunks.op6_chunks,
     "op7_sharding": sharding.op7_sharding,
+    "op8_pieces": pieces.op8_pieces,
     "op9_langid": langid.op9_langid,
     "op10_linededup": linededup.op10_linededup,
 }

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from stemma.functions.hashing import STRONG, blank_windows, code_points, exploded, polynomials, theme_id
 from stemma.functions.text import normalise
@@ -68,7 +69,7 @@ def runs(found: DataFrame, config: EngineConfig) -> DataFrame:
     return made.where(F.col("length") >= config.window).select("left_id", "right_id", "left", "right", "length")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def theme_ids(text: pd.Series) -> pd.Series:
     return text.map(theme_id)
 

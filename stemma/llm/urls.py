@@ -66,12 +66,12 @@ def _lexical() -> dict[str, Column]:
     }
 
 
-#: Suffixes whose share of blocked addresses is a statistic: of the host, of the path's directory, of its last name.
+#: Suffixes whose share of blocked addresses is a statistic: column, pattern, group.
 SUFFIXES = {
-    "top suffix": F.regexp_extract("host", r"[^.]*$", 0),
-    "site suffix": F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0),
-    "first folder": F.regexp_extract("path", r"^/?([^/]*)/", 1),
-    "file suffix": F.regexp_extract("path", r"\.[^./]*$", 0),
+    "top suffix": ("host", r"[^.]*$", 0),
+    "site suffix": ("host", r"[^.]*\.?[^.]*$", 0),
+    "first folder": ("path", r"^/?([^/]*)/", 1),
+    "file suffix": ("path", r"\.[^./]*$", 0),
 }
 
 
@@ -116,9 +116,9 @@ class UrlModel:
 
 def _with_suffix_rates(rows: DataFrame, suffixes: DataFrame, prior: float) -> DataFrame:
     """Add the rate of each suffix, drawn towards the prior so that rare ones say little."""
-    for name, value in SUFFIXES.items():
+    for name, (column, pattern, group) in SUFFIXES.items():
         table = suffixes.where(F.col("kind") == name).select(F.col("suffix").alias("__suffix"), F.col("n").alias("__n"), F.col("blocked").alias("__blocked"))
-        rows = rows.withColumn("__value", value).join(table, F.col("__value") == F.col("__suffix"), "left")
+        rows = rows.withColumn("__value", F.regexp_extract(column, pattern, group)).join(table, F.col("__value") == F.col("__suffix"), "left")
         n, blocked = F.coalesce("__n", F.lit(0)), F.coalesce("__blocked", F.lit(0))
         rows = rows.withColumn(name, (blocked + SMOOTH * prior) / (n + SMOOTH)).drop("__value", "__suffix", "__n", "__blocked")
     return rows
@@ -139,7 +139,7 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float
     reruns agree.
     """
     y = F.col("blocked").cast("int")
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("suffix")) for k, v in SUFFIXES.items()))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract(*v).alias("suffix")) for k, v in SUFFIXES.items()))
     counted = labelled.select(y.alias("y"), F.inline(kinds)).groupBy("kind", "suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked"))
     suffixes = materialise(counted, "suffixes")
     n, blocked = labelled.agg(F.count(F.lit(1)), F.sum(y)).first()

@@ -251,7 +251,8 @@ def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
     lost = drops.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_list(F.struct("hi", "lo")).alias("lost"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     joined = whole.join(lost, F.col("row.doc_id") == F.col("lost_id"), "left")
-    return joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("lost"))
+    free = "lost" + "_" * max(map(len, docs.columns))  # longer than any name of theirs
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("lost").alias(free))
 
 
 def _drop_sets(column: pa.Array) -> list[set[bytes]]:

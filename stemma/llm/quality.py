@@ -19,6 +19,8 @@ SAMPLE = 20_000
 PRECISION = 0.9
 MOST_RULES = 8
 MOST_CONDITIONS = 4
+#: Conditions of at least this part of the best gain count as equally good.
+NEARLY = 0.97
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words"]
 
 
@@ -130,16 +132,17 @@ def _all(rule: list[Condition], of: dict[str, Column]) -> Column:
     return out
 
 
-def _thresholds(rows: DataFrame) -> dict[str, list[float]]:
-    """Halfway between neighbours among the quantiles of either class."""
+def _thresholds(rows: DataFrame) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
+    """Halfway between neighbours among the quantiles of either class, and how wide each gap is as a part of all."""
     steps = [i / 20 for i in range(21)]
     names = list(features())
     found = rows.groupBy("bad").agg(*(F.percentile_approx(F.col(f"`{n}`"), steps, 1000).alias(n) for n in names)).collect()
-    out = {}
+    cuts, gaps = {}, {}
     for n in names:
         seen = sorted({v for r in found for v in r[n] or []})
-        out[n] = [(a + b) / 2 for a, b in zip(seen, seen[1:])]
-    return out
+        cuts[n] = [(a + b) / 2 for a, b in zip(seen, seen[1:])]
+        gaps[n] = [(b - a) / (seen[-1] - seen[0]) for a, b in zip(seen, seen[1:])]
+    return cuts, gaps
 
 
 def _gain(p: int, n: int, all_p: int, all_n: int) -> float:
@@ -150,7 +153,9 @@ def fit_decision_list(rows: DataFrame, precision: float = PRECISION, most_rules:
     """Sequential covering over rows with statistics and a boolean ``bad``.
 
     A rule grows on two thirds of the rows that no rule covers yet, condition by
-    condition by information gain, until it covers no good row; it is pruned on the
+    condition by information gain (among nearly equal ones by the widest gap, which
+    clean documents unseen so far are least likely to cross), until it covers no
+    good row; it is pruned on the
     other third by dropping last conditions while (p - n) / (p + n) does not fall;
     it is kept if it is right often enough on that third. Each step is one
     aggregation into counts by feature, bin and class. Without rows of both kinds
@@ -159,32 +164,33 @@ def fit_decision_list(rows: DataFrame, precision: float = PRECISION, most_rules:
     names = list(features())
     thirds = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(3)) == 0
     rows = materialise(rows.select(F.col("bad"), thirds.alias("held"), *(v.alias(n) for n, v in features().items())), "labelled")
-    cuts = _thresholds(rows)
     value = {n: F.col(f"`{n}`") for n in names}
     below = lambda v: lambda cut: cut < v
-    bins = F.array(*(F.size(F.filter(F.array(*map(F.lit, cuts[n])).cast("array<double>"), below(value[n]))) for n in names))
-    binned = materialise(rows.withColumn("bins", bins), "labelled-bins")
     made = DecisionList()
     uncovered = F.lit(True)
     while len(made.rules) < most_rules:
         rule: list[Condition] = []
-        left = binned.where(uncovered)
+        left = rows.where(uncovered)
+        cuts, gaps = _thresholds(left)
+        bins = F.array(*(F.size(F.filter(F.array(*map(F.lit, cuts[n])).cast("array<double>"), below(value[n]))) for n in names))
+        left = materialise(left.withColumn("bins", bins), "labelled-bins")
         while len(rule) < most_conditions:
             counts = left.where(~F.col("held") & _all(rule, value)).select("bad", F.posexplode("bins").alias("feature", "bin")).groupBy("feature", "bin", "bad").count().collect()
             table = {(r["feature"], r["bin"], r["bad"]): r["count"] for r in counts}
             all_p, all_n = (sum(v for k, v in table.items() if k[0] == 0 and k[2] == bad) for bad in (True, False))
             if not all_p or not all_n:
                 break
-            best = (0.0, 0, None)
+            options = []
             for f, name in enumerate(names):
                 p = n = 0
                 for k, cut in enumerate(cuts[name]):  # rows of bins 0 to k are at or under cut k
                     p, n = p + table.get((f, k, True), 0), n + table.get((f, k, False), 0)
                     for above, a, b in ((False, p, n), (True, all_p - p, all_n - n)):
-                        best = max(best, (_gain(a, b, all_p, all_n), a, Condition(name, above, cut)), key=lambda x: x[:2])
-            if best[2] is None:
+                        options.append((_gain(a, b, all_p, all_n), gaps[name][k], Condition(name, above, cut)))
+            most = max((o[0] for o in options), default=0.0)
+            if most <= 0:
                 break
-            rule.append(best[2])
+            rule.append(max((o for o in options if o[0] >= NEARLY * most), key=lambda o: (o[1], o[0]))[2])
         if not rule:
             break
         held = left.where(F.col("held")).agg(*(F.count(F.when(_all(rule[: i + 1], value) & (F.col("bad") == bad), 1)) for i in range(len(rule)) for bad in (True, False))).first()

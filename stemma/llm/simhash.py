@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.components import connected_components
@@ -69,8 +69,8 @@ def _blocks(blocks: int) -> list[int]:
     return [sum(1 << i for i in range(a, b)) for a, b in zip(cuts, cuts[1:])]
 
 
-def pivot_keys(blocks: int, distance: int = DISTANCE) -> Column:
-    """The keys of a fingerprint, of which any two within ``distance`` share one.
+def pivot_keys(prints: DataFrame, blocks: int, distance: int = DISTANCE) -> DataFrame:
+    """Rows (fingerprint, key), so that any two fingerprints within ``distance`` share a key.
 
     The pivot table holds, for each of ``blocks`` parts of the 64 bits, the Hamming
     distances of that part to all references, four bits each. Two fingerprints that
@@ -78,12 +78,13 @@ def pivot_keys(blocks: int, distance: int = DISTANCE) -> Column:
     ``blocks - distance`` parts their greatest coordinate difference is 0: each
     choice of that many parts makes one key.
     """
-    parts = []
-    for mask in _blocks(blocks):
+    parts = {}
+    for n, mask in enumerate(_blocks(blocks)):
         coordinates = [F.shiftleft(F.bit_count(F.col("fingerprint").bitwiseXOR(F.lit(_signed(p))).bitwiseAND(F.lit(_signed(mask)))).cast("long"), 4 * k) for k, p in enumerate(PIVOTS)]
-        parts.append(reduce(lambda x, y: x.bitwiseOR(y), coordinates))
-    chosen = combinations(range(blocks), blocks - distance)
-    return F.array(*(F.xxhash64(F.lit(n), *(parts[i] for i in c)) for n, c in enumerate(chosen)))
+        parts[f"part{n}"] = reduce(lambda x, y: x.bitwiseOR(y), coordinates)
+    table = prints.select("fingerprint", *(v.alias(k) for k, v in parts.items()))
+    chosen = combinations(parts, blocks - distance)
+    return table.select("fingerprint", F.explode(F.array(*(F.xxhash64(F.lit(n), *c) for n, c in enumerate(chosen)))).alias("key"))
 
 
 def _find(parent: np.ndarray) -> np.ndarray:
@@ -172,12 +173,12 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, hot_rows: int = HOT_
     blocks = next((m for m in range(distance + 1, distance + 4) if n / 2 ** (64 * (m - distance) / m) <= 64), distance + 4)
     found: DataFrame | None = None
     for blocks in range(blocks, distance + 5):
-        keyed = prints.select("fingerprint", F.explode(pivot_keys(blocks, distance)).alias("key"))
+        keyed = pivot_keys(prints, blocks, distance)
         hot = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows), "hot-keys")
         if hot.isEmpty():
             links = _linked(keyed, distance)
             return links if found is None else found.unionByName(links)
-        links = _linked(keyed.join(hot, "key", "left_anti"), distance)
+        links = materialise(_linked(keyed.join(hot, "key", "left_anti"), distance), "cold-links")
         found = links if found is None else found.unionByName(links)
         crowded = keyed.join(hot, "key")
         prints = materialise(crowded.select("fingerprint").distinct(), "crowded")

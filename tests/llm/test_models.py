@@ -1,0 +1,170 @@
+"""Language identification and piece encoding."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from conftest_llm import EDGE_IDS, EDGES, documents, with_clashes
+from stemma.llm import langid, pieces
+
+SYLLABLES = {"one": ["ka", "to", "mi", "re", "su"], "two": ["ber", "stal", "nig", "ung", "ach"], "three": ["eau", "ille", "oux", "que", "ète"], "four": ["ый", "ов", "ска", "при", "ние"]}
+
+
+def speech(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n)).capitalize() + rng.choice([".", "!", " 12", ""])
+
+
+def plain_counts(text):
+    kept = b" ".join("".join(c if ord(c) >= 128 or c.isalpha() else " " for c in (text or "").lower()).encode().split())
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    data, out = b" " + kept + b" ", np.zeros(langid.FEATURES, np.int64)
+    for n in langid.ORDERS:
+        for i in range(len(data) - n + 1):
+            gram = int.from_bytes(data[i : i + n], "big")
+            out[((gram + (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 5])
+def test_counts(monkeypatch, piece):
+    monkeypatch.setattr(langid, "_PIECE", piece)
+    rng = random.Random(1)
+    for text in [t for t in EDGES if t is None or len(t) < 1000] + ["½²", "a", "日本 語", *(speech(rng, lang, 9) for lang in SYLLABLES)]:
+        got, expected = langid.counts_of(text), plain_counts(text)
+        assert (got is None) == (expected is None) and (got is None or (got == expected).all())
+
+
+def test_languages(spark):
+    """Accuracy on held-out texts; predictions use the text alone and are the nearest centroid's."""
+    rng = random.Random(2)
+    langs = [rng.choice(["one", "one", "one", "two", "three", "four"]) for _ in range(600)]
+    docs = with_clashes(documents(spark, [speech(rng, lang, rng.randint(3, 60)) for lang in langs], langs=[None if i % 17 == 0 else lang for i, lang in enumerate(langs)]))
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), sample=40)
+    rows = langid.predict(docs, model).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert sorted(r["doc_id"] for r in held) == [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) / len(held) > 0.98
+    assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) < 150
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in rows[:40]:
+        cosines = model.centres @ model.vector(plain_counts(texts[r["doc_id"]]))
+        assert r["lang_pred"] == model.languages[model.owner[int(np.argmax(cosines))]] and r["score"] == pytest.approx(cosines.max(), abs=1e-6)
+    again = langid.fit(docs.repartition(7).where(~langid.held_out(F.col("doc_id"))), sample=40)
+    assert (again.centres == model.centres).all() and again.languages == model.languages
+    assert len(model.centres) <= 4 * langid.CENTROIDS
+    far = langid.predict(documents(spark, ["ξψφ ωθζ " * 20]), model).first()
+    assert far["rejected"] and far["lang_pred"] in model.languages
+    # The statistics cover every training text, not the sample.
+    frequency, n = langid.document_frequencies(docs)
+    assert n == 600 and (frequency == sum(plain_counts(t) > 0 for t in texts.values())).all()
+
+
+def test_edges_of_languages(spark):
+    docs = with_clashes(documents(spark, EDGES, ids=EDGE_IDS))
+    model = langid.fit(docs)
+    rows = langid.predict(docs, model).collect()
+    assert len(rows) == len(EDGES) and {r["lang_pred"] for r in rows} == {"en", "und"}
+    assert [r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2, 9)] == ["und"] * 4
+    nothing = langid.fit(docs.where("false"))
+    assert {r["lang_pred"] for r in langid.predict(docs, nothing).collect()} == {"und"}
+    assert langid.predict(docs.where("false"), model).count() == 0
+    assert langid.fit(docs.withColumn("lang", F.lit(None).cast("string"))).languages == []
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return pieces.Codec(pieces.Vocabulary.read(pieces.MODEL))
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def ids(codec, text):
+    return np.frombuffer(codec.encode(text), "<i4").tolist()
+
+
+def test_pieces_are_the_librarys(codec, library):
+    rng = random.Random(3)
+    known = [p.replace(pieces.SPACE, " ") for p, _, kind in codec.vocabulary.pieces if kind == pieces.NORMAL]
+    alphabets = ["ab ctheino  \n.=-/*#é漢😀\x00", "aeintshr", " a", "0123456789,. ", "▁ a"]
+    for k in range(1500):
+        if k % 3:
+            text = "".join(rng.choice(alphabets[k % 5]) for _ in range(rng.randint(1, 150)))
+        else:
+            text = "".join(rng.choice(known) for _ in range(rng.randint(1, 25)))
+        assert ids(codec, text) == library.encode(text), repr(text)
+        assert codec.decode(np.array(ids(codec, text))) == library.decode(library.encode(text))
+
+
+def test_streaming_commits(codec, library):
+    """A segment of any length is searched in a window, and what is committed is final."""
+    rng = random.Random(4)
+    for text in ("=" * 3000, "a" * 2000, "".join(rng.choice("aeinstrhoul") for _ in range(4000)), " " * 999, "é" * 700):
+        marked = pieces.SPACE + text.replace(" ", pieces.SPACE)
+        search = codec.search(marked)
+        first = next(search)
+        assert search.gi_frame is not None  # pieces leave before the end is seen
+        assert "".join([first, *search]) == marked
+        assert ids(codec, text) == library.encode(text)
+        if len(marked) < 4 * codec.longest:
+            assert codec._held(marked) == list(codec.search(marked))
+
+
+def test_pairs_against_merges(codec):
+    """The rule of neighbours says what the merges of their joined text say."""
+    rng = random.Random(5)
+    known = list(codec.ids)
+    for _ in range(4000):
+        a, b = rng.choice(known), rng.choice(known)
+        if codec.merged(a) == [a] and codec.merged(b) == [b]:
+            assert codec._fits(a, b) == (codec.merged(a + b) == [a, b]), (a, b)
+
+
+def test_unigram_search_is_best():
+    """For a unigram model the search finds the greatest sum of scores."""
+    rng = random.Random(6)
+    found = [("<unk>", 0.0, pieces.UNKNOWN), *((p, -rng.random() * 9, pieces.NORMAL) for p in ["▁", "a", "b", "ab", "ba", "aab", "bab", "▁a", "▁ab", "abba"])]
+    codec = pieces.Codec(pieces.Vocabulary(found, pieces.UNIGRAM, True, False))
+    score = dict((p, s) for p, s, kind in found if kind == pieces.NORMAL)
+
+    def best(text):
+        top = [0.0] + [-1e9] * len(text)
+        for i in range(1, len(text) + 1):
+            for j in range(i):
+                piece = text[j:i]
+                if piece in score or i == j + 1:
+                    top[i] = max(top[i], top[j] + score.get(piece, codec.lowest))
+        return top[-1]
+
+    for _ in range(200):
+        text = pieces.SPACE + "".join(rng.choice("aab") for _ in range(rng.randint(0, 60)))
+        chosen = list(codec.search(text))
+        assert "".join(chosen) == text and sum(score.get(p, codec.lowest) for p in chosen) == pytest.approx(best(text))
+    assert ids(codec, "aqqb")[-1] == codec.ids["b"] and codec.unknown in ids(codec, "aqqb")
+
+
+def test_edges_of_pieces(spark, library):
+    texts = [*EDGES, "with ▁ mark", "\x00\x7f", "a퟿b"]
+    docs = with_clashes(documents(spark, texts, ids=[*EDGE_IDS, 20, 21, 22]))
+    made = pieces.encode(docs)
+    rows = made.collect()
+    assert len(rows) == len(texts) and pieces.encode(docs.where("false")).count() == 0
+    expected = sorted(((i, library.encode(t) if t else [], pieces.SPACE not in (t or "")) for i, t in zip([*EDGE_IDS, 20, 21, 22], texts)), key=str)
+    assert sorted(((r["doc_id"], list(r["ids"]), r["exact"]) for r in rows), key=str) == expected
+    assert all(r["n_ids"] == len(r["ids"]) for r in rows)
+    back = pieces.decode(made.where("exact"))
+    assert sorted(r["text"] for r in back.collect()) == sorted(t or "" for t in texts if pieces.SPACE not in (t or ""))
+
+
+def test_forgetting_changes_nothing(codec, library, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    small = pieces.Codec(codec.vocabulary)
+    text = "many different words that are many different words again, " * 5
+    assert ids(small, text) == library.encode(text) and len(small.known) <= 3

@@ -94,8 +94,9 @@ def test_keys_meet(spark):
             for b in rng.sample(range(64), rng.randint(0, 4)):
                 y ^= 1 << b
             pairs.append((S._signed(x), S._signed(y)))
-        keys = lambda c: spark.createDataFrame(pairs, "x long, y long").select(F.col(c).alias("fingerprint")).select("fingerprint", S.pivot_keys(blocks).alias("k"))  # noqa: E731, B023
-        xs, ys = ({r["fingerprint"]: set(r["k"]) for r in keys(c).collect()} for c in "xy")
+        rows = spark.createDataFrame(pairs, "x long, y long")
+        shared = [S.pivot_keys(rows.select(F.col(c).alias("fingerprint")), blocks).groupBy("fingerprint").agg(F.collect_set("key").alias("k")).collect() for c in "xy"]
+        xs, ys = ({r["fingerprint"]: set(r["k"]) for r in x} for x in shared)
         assert all(xs[x] & ys[y] for x, y in pairs)
 
 

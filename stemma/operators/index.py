@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +59,36 @@ def posting_lines(postings: DataFrame) -> DataFrame:
     return lines.select("hash", "bytes", "doctypes")
 
 
+def lowest_hashes(postings: DataFrame, start: int, limit: int) -> DataFrame:
+    """The ``limit`` lowest different hashes from ``start`` on; a task hands on no more than these."""
+
+    def run(batches):
+        held = np.empty(0, np.int64)
+        for batch in batches:
+            held = np.unique(np.concatenate((held, batch.column(0).to_numpy())))[:limit]
+        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["hash"])
+
+    own = postings.where(F.col("hash") >= start).select("hash").mapInArrow(run, "hash long")
+    return own.distinct().orderBy("hash").limit(limit)
+
+
 def list_index(postings: DataFrame, start: int = 0, limit: int = 100) -> DataFrame:
     """Lines of the ``limit`` lowest hashes from ``start`` on. The hashes are chosen before lines are built."""
-    chosen = postings.where(F.col("hash") >= start).select("hash").distinct().orderBy("hash").limit(limit)
-    return posting_lines(postings.where(F.col("hash") >= start).join(F.broadcast(chosen), "hash", "left_semi")).orderBy("hash")
+    chosen = F.broadcast(lowest_hashes(postings, start, limit))
+    return posting_lines(postings.where(F.col("hash") >= start).join(chosen, "hash", "left_semi")).orderBy("hash")
 
 
-def index_stats(windows: DataFrame, config: EngineConfig) -> DataFrame:
-    """By shard: windows seen, postings kept, repeats in a document, different hashes."""
-    once = windows.select(shard(config).alias("shard"), "hash", *KEY).groupBy("shard", "hash", *KEY).agg(F.count(F.lit(1)).alias("n"))
-    by_hash = once.groupBy("shard", "hash").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("postings"))
-    return by_hash.groupBy("shard").agg(
+def index_stats(documents: DataFrame, config: EngineConfig) -> DataFrame:
+    """By shard: windows seen, postings kept, repeats in a document, different hashes.
+
+    A document's windows are counted where they are made, so one row for each of
+    its hashes is shuffled, once.
+    """
+    window, width = config.window, config.hash_width
+    texts = documents.select(*KEY, normalise(F.col("text")).alias("text"))
+    counted = exploded(texts, KEY, "text", lambda t: np.unique(window_hashes(t, window, width), return_counts=True), [("hash", "long"), ("n", "long")])
+    by_hash = counted.groupBy("hash").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("postings"))
+    return by_hash.groupBy(shard(config).alias("shard")).agg(
         F.sum("windows").alias("windows"),
         F.sum("postings").alias("postings"),
         (F.sum("windows") - F.sum("postings")).alias("repeats"),

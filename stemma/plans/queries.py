@@ -19,7 +19,7 @@ from stemma.operators import index as idx
 from stemma.operators import search as srch
 from stemma.plans import jobs
 from stemma.plans.config import EngineConfig
-from stemma.shared import materialise, shared_root
+from stemma.shared import materialise, shared_root, spread
 from stemma.sources.synthetic import synthetic_documents
 from stemma.streaming import feeds
 
@@ -28,7 +28,7 @@ BASE, WORD = 37, 1 << 64
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     doctype = F.substring("source", 4, 20).cast("long") + 1
     return docs.build_documents(rows, doctype, F.col("doc_id") + 1, F.concat(F.lit("doc-"), F.col("doc_id")), F.col("text"), {"lang": F.col("lang")})
 
@@ -68,7 +68,7 @@ def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return idx.index_stats(idx.shingles(collection(spark, sf_dir), docs.KEY, CONFIG), CONFIG)
+    return idx.index_stats(collection(spark, sf_dir), CONFIG)
 
 
 def list_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def search_topk_one_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    right = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    right = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return pairs.associate(pairs.prepared(benchmark(spark, sf_dir), "query_id"), pairs.prepared(right, "doc_id"), CONFIG)
 
 

@@ -44,3 +44,13 @@ def drop_materialised(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/stemma/{app}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table whose scan has fewer splits than there are cores, spread over all of them.
+
+    Larger tables, whose scan keeps every core busy as it is, are left alone: no
+    shuffle is added to them.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.texts import map_arrow
-from stemma.shared import materialise
+from stemma.shared import materialise, spread
 
 #: Hashed features of byte n-grams, one to four bytes long, of lower-cased letters and single spaces.
 FEATURES = 1 << 12
@@ -180,5 +180,5 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     return predict(docs, fit(docs.where(~held_out(F.col("doc_id")))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stemma.llm.cuckoo import CuckooFilter
 from stemma.llm.texts import map_arrow
-from stemma.shared import materialise
+from stemma.shared import materialise, spread
 
 #: Shortest key in code points that counts, and in how many documents it must be found.
 SHORTEST = 10
@@ -316,7 +316,7 @@ def drop_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
 
 def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return line_report(docs, LineIndex.build(docs))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.llm.texts import map_arrow
+from stemma.shared import spread
 
 #: Public 32,000-piece model; a path on the driver, from where the vocabulary is sent out.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -418,4 +419,4 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids, and whether these decode to the text."""
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stemma.llm.components import connected_components
 from stemma.llm.texts import map_arrow
-from stemma.shared import materialise
+from stemma.shared import materialise, spread
 
 SHINGLE = 4
 DISTANCE = 4
@@ -225,4 +225,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))

@@ -24,7 +24,7 @@ from stemma.sources.synthetic import synthetic_documents
 _DOCUMENTS = "doctype long, docid long, title string, text string, characters long, valid boolean, meta map<string,array<string>>"
 _POSTINGS = "hash long, doctype long, docid long"
 _ASSOCIATIONS = "doctype long, docid long, other_doctype long, other_docid long, fragments array<struct<left:int,right:int,length:int,theme_id:long>>, fragment_count int"
-_TABLES = {"documents": _DOCUMENTS, "postings": _POSTINGS, "associations": _ASSOCIATIONS, "queue": jobs.SCHEMA}
+_TABLES = {"documents": _DOCUMENTS, "postings": _POSTINGS, "associations": _ASSOCIATIONS, "queue": jobs.SCHEMA, "themes": "theme_id long, text string"}
 
 
 class Engine:
@@ -105,6 +105,10 @@ class Engine:
         kept = self.table("associations").join(sources.select(*docs.KEY), docs.KEY, "left_anti")
         self._replace("associations", kept.unionByName(new))
 
+    def save_themes(self, found: DataFrame) -> None:
+        """Keep the texts of fragments, each theme once."""
+        self._replace("themes", self.table("themes").unionByName(found.select("theme_id", "text")).dropDuplicates(["theme_id"]))
+
     def list_associations(self, source: str | None = None, target: str | None = None) -> DataFrame:
         return self.table("associations").where(predicate(source) & predicate(target, "other_doctype"))
 

@@ -58,6 +58,17 @@ def common_windows(left: DataFrame, right: DataFrame, config: EngineConfig, pair
     return found if pairs is None else found.join(pairs, ["left_id", "right_id"], "left_semi")
 
 
+def shared_windows(left: DataFrame, right: DataFrame, config: EngineConfig) -> DataFrame:
+    """How many of a left text's places have a window that some right text has: left_id, places.
+
+    The exact form of a filter by intersected bit sets: a semi-join on the hashes,
+    of which Spark may thin out either side by a runtime filter.
+    """
+    theirs = _windows(right, "id", config).select("hash", "check").distinct()
+    ours = _windows(left, "id", config).join(theirs, ["hash", "check"], "left_semi")
+    return ours.groupBy(F.col("id").alias("left_id")).agg(F.count(F.lit(1)).alias("places"))
+
+
 def runs(found: DataFrame, config: EngineConfig) -> DataFrame:
     """Maximal diagonal runs (left_id, right_id, left, right, length) of a window at least."""
     diagonal = found.withColumn("diagonal", F.col("l") - F.col("r"))

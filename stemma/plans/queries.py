@@ -17,6 +17,7 @@ from stemma.operators import associate as pairs
 from stemma.operators import documents as docs
 from stemma.operators import index as idx
 from stemma.operators import search as srch
+from stemma.operators.render import fragment_json
 from stemma.plans import jobs
 from stemma.plans.config import EngineConfig
 from stemma.shared import materialise, shared_root, spread
@@ -127,6 +128,18 @@ def themes_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.themes(_fragments(spark, sf_dir)).select("theme_id", "text")
 
 
+def shared_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each benchmark text the places whose window is in some document."""
+    right = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    made = pairs.shared_windows(pairs.prepared(benchmark(spark, sf_dir), "query_id"), pairs.prepared(right, "doc_id"), CONFIG)
+    return made.select(F.col("left_id").alias("item_id"), "places")
+
+
+def fragments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pairs.associations(_fragments(spark, sf_dir))
+    return made.select(F.col("left_id").alias("item_id"), F.col("right_id").alias("doc_id"), fragment_json(F.col("fragments")).alias("fragments"))
+
+
 def bulk_associate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of different documents that a search ranks, with their fragments: one set-oriented plan."""
     known = materialise(collection(spark, sf_dir), "collection")
@@ -177,7 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         normalise_docs, pretty_docs, window_hashes_bench, list_documents, docids_in_range, upsert_documents, index_stats, list_index, index_after_delete,
-        search_tally, search_topk, search_topk_one_shard, bench_fragments, fragment_summary, themes_distinct, bulk_associate, queue_stats, queue_batch,
+        search_tally, search_topk, search_topk_one_shard, bench_fragments, fragment_summary, fragments_json, shared_places, themes_distinct, bulk_associate, queue_stats, queue_batch,
         feed_ingest, synthetic_corpus,
     )
 }
@@ -299,6 +312,12 @@ ORACLES: dict[str, str] = {
     "themes_distinct": f"""{_FRAGMENTS}, t AS (SELECT DISTINCT text, hex(encode(text)) AS hx FROM frag)
         SELECT list_reduce(list_transform(regexp_extract_all(hx, '..'), lambda x: ('0x' || x)::BIGINT),
                            lambda a, x: (xor(a, x) * 16777619) % 4294967296, 2166136261) + (length(hx) // 2) * 4294967296 AS theme_id, text FROM t""",
+    "shared_places": f"{_FRAGMENTS} SELECT item_id, count(*) AS places FROM (SELECT DISTINCT item_id, l FROM pair) GROUP BY item_id",
+    "fragments_json": f"""{_FRAGMENTS}, h AS (SELECT text, hex(encode(text)) AS hx FROM (SELECT DISTINCT text FROM frag)),
+        t AS (SELECT text, (list_reduce(list_transform(regexp_extract_all(hx, '..'), lambda x: ('0x' || x)::BIGINT),
+                           lambda a, x: (xor(a, x) * 16777619) % 4294967296, 2166136261) + (length(hx) // 2) * 4294967296)::BIGINT AS theme_id FROM h)
+        SELECT item_id, doc_id, '[' || string_agg('[' || frag_left || ',' || frag_right || ',' || length || ',' || theme_id || ']', ','
+               ORDER BY length DESC, frag_left, frag_right) || ']' AS fragments FROM frag JOIN t USING (text) GROUP BY item_id, doc_id""",
     "queue_stats": f"WITH {_QUEUE} SELECT status, count(*) AS count FROM q GROUP BY status",
     "queue_batch": f"""WITH {_QUEUE}, ten AS (SELECT * FROM q WHERE status = 'Queued' ORDER BY id LIMIT 10),
         m AS (SELECT *, max((command <> (SELECT arg_min(command, id) FROM ten))::INTEGER) OVER (ORDER BY id) AS changed FROM ten)

@@ -269,3 +269,39 @@ def test_engine(spark, tmp_path):
         engine.enqueue("Nothing")
     engine.drop()
     assert engine.list_documents()[1] == 0
+
+
+def test_rendering(spark, tmp_path):
+    from stemma.operators import render as R
+
+    texts = spark.createDataFrame([(1, "the quick brown fox jumps, over it"), (2, "QUICK BROWN FOX! and a lazy dog")], "id long, text string")
+    side = A.prepared(texts, "id")
+    found = A.associate(side, side, SMALL, exclude_self=True)
+    listed = A.associations(found)
+    row = listed.select("fragments", R.fragment_json(F.col("fragments")).alias("j")).withColumn("back", R.parse_fragments(F.col("j"))).first()
+    assert row["back"] == row["fragments"] and row["j"].startswith("[[")
+    docs = documents(spark, [(1, 2, "QUICK BROWN FOX! and a lazy dog")])
+    lines = R.association_lines(listed.where("left_id = 1").withColumns({"doctype": F.lit(1), "docid": F.lit(2)}), docs).collect()
+    assert "QUICK BROWN FOX" in lines[0]["line"] and lines[0]["line"].startswith("title")
+    import json
+
+    page = json.loads(R.response(docs.select("doctype", "docid"), 7).first()["value"])
+    assert page == {"success": True, "rows": [{"doctype": 1, "docid": 2}], "totalRows": 7}
+    R.write_json(docs.drop("meta"), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 1
+    places = {r["left_id"]: r["places"] for r in A.shared_windows(side, side.where("id = 2"), SMALL).collect()}
+    assert places[2] > places[1] > 0
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from stemma.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("words in a file that are long enough for one window and some more of them")
+    store = str(tmp_path / "store")
+    assert main([store, "add", str(tmp_path / "in"), "4"]) == 0
+    assert main([store, "search", str(tmp_path / "in" / "a.txt")]) == 0
+    assert main([store, "list", "4"]) == 0
+    assert main([store, "delete", "4", "1"]) == 0 and main([store, "list"]) == 0
+    assert capsys.readouterr().out.rstrip().endswith("0")
+    assert main([store]) == 2 and main([store, "nothing"]) == 2

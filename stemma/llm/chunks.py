@@ -18,7 +18,7 @@ LEAST, NORMAL, MOST = 32, 96, 512
 STRICT, LOOSE = 8, 5
 #: Bytes of text that one sorted block holds, about, and the most blocks.
 BLOCK_BYTES = 16 << 20
-MOST_BLOCKS = 10_000
+MOST_BLOCKS = 100_000
 ENTRY = 20
 
 _GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 32, 256, dtype=np.uint32)

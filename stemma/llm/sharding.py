@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions.positions import with_positions
+from stemma.shared import materialise
 
 
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
@@ -33,6 +34,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("stratum"),
         digest.alias("digest"),
     ).withColumn("bucket", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
+    rows = materialise(rows, "shard-rows")  # so that texts are read once
     ties = ["doc_id", "text_crc32", "size"]
     ranked = with_positions(rows, ["stratum"], "bucket", ["digest", *ties], "rank", "of")
     fraction = (F.col("rank") + 0.5) / F.col("of")

@@ -78,19 +78,53 @@ def list_index(postings: DataFrame, start: int = 0, limit: int = 100) -> DataFra
     return posting_lines(postings.where(F.col("hash") >= start).join(chosen, "hash", "left_semi")).orderBy("hash")
 
 
+#: Hashes of one bitmap, and the widest hash whose bitmaps a task keeps (32 MB).
+BITMAP = 1 << 15
+BITMAP_WIDTH = 28
+
+
 def index_stats(documents: DataFrame, config: EngineConfig) -> DataFrame:
     """By shard: windows seen, postings kept, repeats in a document, different hashes.
 
-    A document's windows are counted where they are made, so one row for each of
-    its hashes is shuffled, once.
+    A document's windows are counted where they are made. Up to ``BITMAP_WIDTH``
+    bits a task also marks its hashes in bitmaps, which are all that is shuffled;
+    wider hashes are counted by one row for each document and hash.
     """
     window, width = config.window, config.hash_width
     texts = documents.select(*KEY, normalise(F.col("text")).alias("text"))
-    counted = exploded(texts, KEY, "text", lambda t: np.unique(window_hashes(t, window, width), return_counts=True), [("hash", "long"), ("n", "long")])
-    by_hash = counted.groupBy("hash").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("postings"))
-    return by_hash.groupBy(shard(config).alias("shard")).agg(
-        F.sum("windows").alias("windows"),
-        F.sum("postings").alias("postings"),
-        (F.sum("windows") - F.sum("postings")).alias("repeats"),
-        F.count(F.lit(1)).alias("hashes"),
-    )
+    if width > BITMAP_WIDTH or config.shard_size % BITMAP:
+        counted = exploded(texts, KEY, "text", lambda t: np.unique(window_hashes(t, window, width), return_counts=True), [("hash", "long"), ("n", "long")])
+        by_hash = counted.groupBy("hash").agg(F.sum("n").alias("windows"), F.count(F.lit(1)).alias("postings"))
+        found = by_hash.select(shard(config).alias("shard"), "windows", "postings", F.lit(1).cast("long").alias("hashes"))
+    else:
+        marked = _bitmaps(texts.select("text"), config).groupBy("shard", "bucket").agg(F.sum("windows").alias("windows"), F.sum("postings").alias("postings"), F.bitmap_or_agg("bits").alias("bits"))
+        found = marked.select("shard", "windows", "postings", F.bitmap_count("bits").alias("hashes"))
+    totals = found.groupBy("shard").agg(*(F.sum(c).alias(c) for c in ("windows", "postings", "hashes"))).where(F.col("windows") > 0)
+    return totals.select("shard", "windows", "postings", (F.col("windows") - F.col("postings")).alias("repeats"), "hashes")
+
+
+def _bitmaps(texts: DataFrame, config: EngineConfig) -> DataFrame:
+    """For each task its counts by shard, and bitmaps of the hashes it met."""
+    window, width, shards, size = config.window, config.hash_width, config.shards, config.shard_size
+    names = ["shard", "bucket", "windows", "postings", "bits"]
+
+    def run(batches):
+        seen = np.zeros(1 << width, bool)
+        windows, postings = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                hashes = window_hashes(text, window, width)
+                once = np.unique(hashes)
+                windows += np.bincount(hashes // size, minlength=shards)
+                postings += np.bincount(once // size, minlength=shards)
+                seen[once] = True
+        rows = seen.reshape(-1, BITMAP)
+        used = np.flatnonzero(rows.any(axis=1))
+        bits = [np.packbits(rows[b], bitorder="little").tobytes() for b in used]
+        bucket = np.concatenate((np.full(shards, -1), used))
+        own = np.concatenate((np.arange(shards), used * BITMAP // size))
+        zeros = np.zeros(len(used), np.int64)
+        columns = [pa.array(own), pa.array(bucket), pa.array(np.concatenate((windows, zeros))), pa.array(np.concatenate((postings, zeros))), pa.array([None] * shards + bits, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return texts.mapInArrow(run, "shard long, bucket long, windows long, postings long, bits binary")

@@ -305,3 +305,24 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert main([store, "delete", "4", "1"]) == 0 and main([store, "list"]) == 0
     assert capsys.readouterr().out.rstrip().endswith("0")
     assert main([store]) == 2 and main([store, "nothing"]) == 2
+
+
+@pytest.mark.parametrize("width,shards", [(24, 2), (20, 32), (30, 4), (16, 4)])
+def test_index_stats(spark, width, shards):
+    from stemma.functions.hashing import window_hashes
+
+    config = replace(SMALL, hash_width=width, shards=shards)
+    rng = random.Random(width)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 90))) + "x" for _ in range(40)]
+    expected = {}
+    for t in texts:
+        hashes = window_hashes(t.upper(), 8, width).tolist()
+        for h in hashes:
+            row = expected.setdefault(h // config.shard_size, [0, 0, set()])
+            row[0] += 1
+        for h in set(hashes):
+            row = expected[h // config.shard_size]
+            row[1] += 1
+            row[2].add(h)
+    got = {r["shard"]: (r["windows"], r["postings"], r["repeats"], r["hashes"]) for r in I.index_stats(documents(spark, [(1, i + 1, t) for i, t in enumerate(texts)]), config).collect()}
+    assert got == {s: (w, p, w - p, len(h)) for s, (w, p, h) in expected.items()}

@@ -16,6 +16,8 @@ CAP = 3
 #: Newton ends when every source's tokens are this near its target, as a part of it.
 NEAR = 1e-9
 MOST_STEPS = 60
+#: Turns in which the rest of a target is filled, each by smaller documents.
+TURNS = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = CAP) -> DataFrame:
@@ -99,8 +101,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     come from the convex dual (``multipliers``); their whole parts are taken, and
     the rest of the target is filled by documents in the order of u / fraction
     (sequential Poisson sampling; u from the digest of seed and doc_id) while their
-    tokens fit, then once more by smaller documents of the same order in what is
-    left. Copies are the rate rounded down or up, so never above ``cap``.
+    tokens fit, then by smaller documents of the same order in what is left, for
+    ``TURNS`` turns in all. Copies are the rate rounded down or up, so never above ``cap``.
 
     Null text: size 0. A document of size 0 has rate 1 and one copy, and takes
     nothing. Null source: a source of its own, last in order. Repeated rows and
@@ -128,24 +130,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     rated = materialise(rated, "rates")
 
     order = ["turn", "doc_id", "size"]
-    taken = rated.groupBy("stratum").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("room"))
-    waiting = rated.where(F.col("turn").isNotNull()).join(taken, "stratum")
-    first = with_running_sum(waiting, ["stratum"], "bucket", order, F.col("size"), "before", "of")
-    first = materialise(first.withColumn("more", F.col("before") + F.col("size") <= F.col("room")).drop("before", "of", "room"), "first-turn")
-    filled = first.where("more").groupBy("stratum").agg(F.sum("size").alias("filled"))
-    left = taken.join(filled, "stratum", "left").select("stratum", (F.col("room") - F.coalesce("filled", F.lit(0))).alias("room"))
-    small = first.where(~F.col("more")).join(left, "stratum").where(F.col("size") <= F.col("room"))
-    second = with_running_sum(small, ["stratum"], "bucket", order, F.col("size"), "before", "of").where(F.col("before") + F.col("size") <= F.col("room"))
-    # Rows of equal id, source and size are alike, so it is enough to know how many of them the second turn takes.
-    alike = ["stratum", "turn", "doc_id", "size"]
-    again = second.groupBy(*alike).agg(F.count(F.lit(1)).alias("again"))
     columns = ["doc_id", "source", "size", "source_size", "target", "rate"]
-    late = first.where(~F.col("more")).withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))))
-    on = (late["stratum"] == again["stratum"]) & (late["turn"] == again["turn"]) & late["doc_id"].eqNullSafe(again["doc_id"]) & (late["size"] == again["size"])
-    late = late.join(again.withColumnRenamed("again", "chosen"), on, "left").select(*(late[c] for c in columns), (late["whole"] + F.when(late["nth"] <= F.coalesce("chosen", F.lit(0)), 1).otherwise(0)).alias("copies"))
-    early = first.where("more").select(*columns, (F.col("whole") + 1).alias("copies"))
-    fixed = rated.where(F.col("turn").isNull()).select(*columns, F.col("whole").alias("copies"))
-    return fixed.unionByName(early).unionByName(late)
+    left = lambda rows: rows.select(*columns, F.col("whole").alias("copies"))
+    room = rated.groupBy("stratum").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("room"))
+    made = left(rated.where(F.col("turn").isNull()))
+    waiting = rated.where(F.col("turn").isNotNull()).join(room, "stratum")
+    for k in range(TURNS):
+        made = made.unionByName(left(waiting.where(F.col("size") > F.col("room"))))
+        summed = with_running_sum(waiting.where(F.col("size") <= F.col("room")), ["stratum"], "bucket", order, F.col("size"), "before", "of")
+        judged = materialise(summed.withColumn("more", F.col("before") + F.col("size") <= F.col("room")).drop("before", "of"), f"turn-{k}")
+        taken = judged.where("more")
+        made = made.unionByName(taken.select(*columns, (F.col("whole") + 1).alias("copies")))
+        filled = taken.groupBy("stratum").agg(F.sum("size").alias("filled"))
+        waiting = judged.where(~F.col("more")).drop("more").join(filled, "stratum", "left")
+        waiting = waiting.withColumn("room", F.col("room") - F.coalesce("filled", F.lit(0))).drop("filled")
+    return made.unionByName(left(waiting))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -141,9 +141,9 @@ def fragments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bulk_associate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of different documents that a search ranks, with their fragments: one set-oriented plan."""
+    """All pairs of different documents that a search ranks, without a limit, with their fragments: one set-oriented plan."""
     known = materialise(collection(spark, sf_dir), "collection")
-    config = replace(CONFIG, limit=10)
+    config = replace(CONFIG, limit=None)
     queries = known.select(F.col("docid").alias("query_id"), "text", F.col("doctype").alias("own_doctype"), F.col("docid").alias("own_docid"))
     ranked = srch.search(queries, idx.build_index(known, config), config, exclude_self=True)
     wanted = materialise(ranked.select(F.col("query_id").alias("left_id"), F.col("docid").alias("right_id")), "ranked")

@@ -15,8 +15,8 @@ from stemma.shared import materialise, spread
 #: Hashed features of byte n-grams, one to four bytes long, of lower-cased letters and single spaces.
 FEATURES = 1 << 12
 ORDERS = (1, 2, 3, 4)
-#: Labelled documents of a language that its centroids are fitted on at most, how many centroids, and languages at most.
-SAMPLE, CENTROIDS, LANGUAGES = 400, 4, 64
+#: Labelled documents of a language that its centroids are fitted on at most, and how many centroids.
+SAMPLE, CENTROIDS = 400, 4
 ROUNDS = 8
 #: Of the training texts of a language this part is more similar to its centroids than the limit of rejection.
 INSIDE = 0.995
@@ -116,19 +116,18 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return found[1:], int(found[0])
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Centroids:
+def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Centroids:
     """Learn from the columns text and lang of training documents with an id.
 
-    Document frequencies cover all texts. Centroids are fitted on at most ``sample``
-    texts of each of at most ``languages`` languages (the most frequent ones), those
-    lowest by digest of the id, collected as short count vectors.
+    Document frequencies cover all texts. Every language of a text with letters has
+    centroids, fitted in executors, one language at a time, on at most ``sample`` of
+    its texts, those lowest by digest of the id; only the centroids are collected.
     """
     usable = docs.where(F.col("lang").isNotNull())
-    seen = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id"))
-    ids = usable.select("doc_id", "lang").join(F.broadcast(seen), "lang").withColumn("rank", rank).where(F.col("rank") <= sample)
+    ids = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= sample)
     ids = materialise(ids.select(F.col("doc_id").alias("id"), F.col("lang").alias("language")), "language-sample")
-    chosen = usable.join(F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("language"))).select("lang", "text")
+    chosen = usable.join(ids, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("language"))).select("lang", "text")
 
     def run(batches):
         for batch in batches:
@@ -136,21 +135,21 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, langu
             packed = [np.minimum(c, 65535).astype("<u2").tobytes() for _, c in made]
             yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in made], pa.string()), pa.array(packed, pa.binary())], names=["lang", "counts"])
 
-    rows = sorted((r["lang"], bytes(r["counts"])) for r in map_arrow(chosen, run, "lang string, counts binary").collect())
     frequency, n = document_frequencies(usable)
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    names = sorted({lang for lang, _ in rows})
-    model = Centroids(names, idf, np.empty((0, FEATURES)), np.empty(0, np.int64), np.zeros(len(names)))
-    centres, owner = [], []
-    for i, name in enumerate(names):
-        vectors = np.array([model.vector(np.frombuffer(c, "<u2")) for lang, c in rows if lang == name])
+
+    def fitted(rows: pa.Table) -> pa.Table:
+        unit = Centroids([], idf, np.empty((0, FEATURES)), np.empty(0, np.int64), np.zeros(0))
+        vectors = np.array([unit.vector(np.frombuffer(c, "<u2")) for c in sorted(rows.column("counts").to_pylist())])
         found = _clustered(vectors, centroids)
-        centres.append(found)
-        owner += [i] * len(found)
-        model.limits[i] = np.quantile((vectors @ found.T).max(axis=1), 1 - INSIDE)
-    if centres:
-        model.centres, model.owner = np.concatenate(centres).astype(np.float32), np.array(owner)
-    return model
+        limit = np.quantile((vectors @ found.T).max(axis=1), 1 - INSIDE)
+        return pa.table({"lang": rows.column("lang")[:1], "centres": pa.array([found.astype("<f4").tobytes()], pa.binary()), "limit": pa.array([limit], pa.float64())})
+
+    made = map_arrow(chosen, run, "lang string, counts binary").groupBy("lang").applyInArrow(fitted, "lang string, centres binary, limit double")
+    rows = sorted(made.collect(), key=lambda r: r["lang"])
+    centres = [np.frombuffer(r["centres"], "<f4").reshape(-1, FEATURES) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in centres])
+    return Centroids([r["lang"] for r in rows], idf, np.concatenate(centres) if rows else np.empty((0, FEATURES)), owner, np.array([r["limit"] for r in rows]))
 
 
 def predict(docs: DataFrame, model: Centroids) -> DataFrame:

@@ -104,32 +104,31 @@ class LineIndex:
             seen = np.zeros(len(hi), bool)
             for f in filters:
                 seen |= f.has(hi, lo)
-            fresh = np.flatnonzero(~seen)
-            last = filters.pop() if filters else CuckooFilter(SHARD_KEYS)
-            full = fresh[last.add(hi[fresh], lo[fresh])]
-            filters.append(last)
-            if len(full):
-                extra = CuckooFilter(2 * max(len(full), SHARD_KEYS))
-                extra.add(hi[full], lo[full])
+            return pa.table({"shard": pa.array([shard] * len(hi), pa.int32()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "seen": pa.array(seen, pa.bool_())})
+
+        def extend(shard, keys, filters):
+            hi, lo = (keys.column(c).to_numpy() for c in ("hi", "lo"))
+            for f in filters:
+                full = f.add(hi, lo)
+                hi, lo = hi[full], lo[full]
+            while len(hi):
+                extra = CuckooFilter(2 * max(len(hi), SHARD_KEYS) if filters else SHARD_KEYS)
+                full = extra.add(hi, lo)
+                hi, lo = hi[full], lo[full]
                 filters.append(extra)
-            n, k = len(hi), len(filters)
-            return pa.table({
-                "shard": pa.array([shard] * (n + k), pa.int32()),
-                "hi": pa.array([*hi.tolist(), *[None] * k], pa.int64()),
-                "lo": pa.array([*lo.tolist(), *[None] * k], pa.int64()),
-                "seen": pa.array([*seen.tolist(), *[None] * k], pa.bool_()),
-                "filter": pa.array([*[None] * n, *(f.to_bytes() for f in filters)], pa.binary()),
-            })
+            return pa.table({"shard": pa.array([shard] * len(filters), pa.int32()), "filter": pa.array([f.to_bytes() for f in filters], pa.binary())})
 
         keys = new.select(self._shard(), "hi", "lo").distinct()
-        probed = materialise(_by_shard(keys, self.filters, probe, "shard int, hi long, lo long, seen boolean, filter binary"), "probed")
-        # Only keys that a filter knows need the old references.
-        known = probed.where("seen").select("hi", "lo")
+        probed = materialise(_by_shard(keys, self.filters, probe, "shard int, hi long, lo long, seen boolean"), "probed")
+        # Only keys that a filter knows need the old references; some are seen through the marks of other keys.
+        known = materialise(self.refs.join(probed.where("seen").select("hi", "lo"), ["hi", "lo"], "left_semi"), "known-refs")
+        # So that each live key has one entry of its own, every key without old references is added.
+        fresh = probed.join(known.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").select("shard", "hi", "lo")
+        filters = materialise(_by_shard(fresh, self.filters, extend, "shard int, filter binary"), "line-filters")
         refs = materialise(self.refs.unionByName(new), "line-refs")
-        again = self.refs.join(known, ["hi", "lo"], "left_semi").unionByName(new)
-        touched = _counted(again)
+        touched = _counted(known.select("doc_id", "hi", "lo").unionByName(new))
         counts = self.counts.join(new.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").unionByName(touched)
-        return LineIndex(refs, materialise(counts, "line-counts"), probed.where(F.col("filter").isNotNull()).select("shard", "filter"), self.shards)
+        return LineIndex(refs, materialise(counts, "line-counts"), filters, self.shards)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take documents (column doc_id) out again; lines they held alone are forgotten."""
@@ -143,13 +142,28 @@ class LineIndex:
         def forget(shard, keys, filters):
             hi, lo = (keys.column(c).to_numpy() for c in ("hi", "lo"))
             for f in filters:
-                missing = f.remove(hi, lo)
-                hi, lo = hi[missing], lo[missing]
+                f.remove(hi, lo)
             return pa.table({"shard": pa.array([shard] * len(filters), pa.int32()), "filter": pa.array([f.to_bytes() for f in filters], pa.binary())})
 
+        def rebuild(shard, keys, filters):
+            hi, lo = (keys.column(c).to_numpy() for c in ("hi", "lo"))
+            made = []
+            while len(hi):
+                f = CuckooFilter(2 * max(len(hi), SHARD_KEYS))
+                full = f.add(hi, lo)
+                hi, lo = hi[full], lo[full]
+                made.append(f)
+            return pa.table({"shard": pa.array([shard] * len(made), pa.int32()), "filter": pa.array([f.to_bytes() for f in made], pa.binary())})
+
+        # Within one filter equal marks share both buckets, so any entry will do. Of several filters a mark
+        # does not tell which holds the key: those of such shards are made anew from the live keys.
+        several = materialise(self.filters.groupBy("shard").agg(F.count(F.lit(1)).alias("filters")).where("filters > 1").select("shard"), "many-filters")
         dead = touched.join(left.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").select(self._shard(), "hi", "lo")
-        filters = materialise(_by_shard(dead, self.filters, forget, "shard int, filter binary"), "line-filters")
-        return LineIndex(refs, counts, filters, self.shards)
+        made = _by_shard(dead.join(several, "shard", "left_anti"), self.filters.join(several, "shard", "left_anti"), forget, "shard int, filter binary")
+        if not several.isEmpty():
+            live = refs.select(self._shard(), "hi", "lo").join(several, "shard", "left_semi").distinct()
+            made = made.unionByName(_by_shard(live, self.filters.join(several, "shard", "left_semi"), rebuild, "shard int, filter binary"))
+        return LineIndex(refs, counts, materialise(made, "line-filters"), self.shards)
 
     def drops(self) -> DataFrame:
         """Rows (doc_id, hi, lo): the keys whose lines each document loses."""

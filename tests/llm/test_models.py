@@ -103,18 +103,47 @@ def test_pieces_are_the_librarys(codec, library):
         assert codec.decode(np.array(ids(codec, text))) == library.decode(library.encode(text))
 
 
+LONG = ("=" * 3000, "a" * 2000, "".join(random.Random(4).choice("aeinstrhoul") for _ in range(4000)), " " * 999, "é" * 700)
+
+
 def test_streaming_commits(codec, library):
-    """A segment of any length is searched in a window, and what is committed is final."""
-    rng = random.Random(4)
-    for text in ("=" * 3000, "a" * 2000, "".join(rng.choice("aeinstrhoul") for _ in range(4000)), " " * 999, "é" * 700):
+    """A stretch of any length is searched in a window, and what is committed is final."""
+    for text in LONG:
         marked = pieces.SPACE + text.replace(" ", pieces.SPACE)
         search = codec.search(marked)
         first = next(search)
         assert search.gi_frame is not None  # pieces leave before the end is seen
         assert "".join([first, *search]) == marked
         assert ids(codec, text) == library.encode(text)
-        if len(marked) < 4 * codec.longest:
-            assert codec._held(marked) == list(codec.search(marked))
+
+
+def test_ordinary_texts_are_committed_as_they_go(codec, library, monkeypatch):
+    """Ids leave at boundaries long before the end of a text, and are those of the whole text."""
+    rng = random.Random(7)
+    known = [p.replace(pieces.SPACE, " ") for p, _, kind in codec.vocabulary.pieces if kind == pieces.NORMAL]
+    texts = ["".join(rng.choice(known) for _ in range(rng.randint(1, 300))) for _ in range(30)] + [None, "", *LONG, "漢字 😀" * 40]
+    expected = [library.encode(t) if t else [] for t in texts]
+    whole = codec.encode_all(texts)
+    for block, stretch in ((80, 256), (80, 4), (257, 1), (1 << 18, 3)):
+        monkeypatch.setattr(pieces, "BLOCK", block)
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        before = codec.commits
+        made, sizes = codec.encode_all(texts)
+        assert codec.commits - before > sum(len((t or "").split()) for t in texts) / 2
+        assert [x.tolist() for x in np.split(made, np.cumsum(sizes)[:-1])] == expected and (made == whole[0]).all()
+    monkeypatch.setattr(pieces, "BLOCK", 80)
+    points = np.array(list(map(ord, (pieces.SPACE + texts[0]).replace(" ", pieces.SPACE))), np.int64)
+    ends = [at + len(chosen) for at, chosen in codec._committed(points)]
+    assert len(ends) > 3 and ends[0] <= 80 and ends[-1] == len(points)
+
+
+def test_tables_of_longs():
+    rng = random.Random(8)
+    known = {rng.randrange(1 << 40): i for i in range(5000)} | {0: 7}
+    table = pieces._Table(known)
+    asked = np.array([*known, *(rng.randrange(1 << 40) for _ in range(5000))], np.int64)
+    assert table.get(asked).tolist() == [known.get(k, -1) for k in asked.tolist()]
+    assert pieces._Table({}).get(np.array([1, 2], np.int64)).tolist() == [-1, -1]
 
 
 def test_pairs_against_merges(codec):
@@ -147,6 +176,7 @@ def test_unigram_search_is_best():
         text = pieces.SPACE + "".join(rng.choice("aab") for _ in range(rng.randint(0, 60)))
         chosen = list(codec.search(text))
         assert "".join(chosen) == text and sum(score.get(p, codec.lowest) for p in chosen) == pytest.approx(best(text))
+        assert ids(codec, text[1:]) == [codec.ids[p] for p in chosen][: 99 * len(text[1:])]
     assert ids(codec, "aqqb")[-1] == codec.ids["b"] and codec.unknown in ids(codec, "aqqb")
 
 
@@ -164,7 +194,20 @@ def test_edges_of_pieces(spark, library):
 
 
 def test_forgetting_changes_nothing(codec, library, monkeypatch):
-    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "PAIR_SLOTS", 4)
     small = pieces.Codec(codec.vocabulary)
-    text = "many different words that are many different words again, " * 5
-    assert ids(small, text) == library.encode(text) and len(small.known) <= 3
+    text = "what a worker remembers of neighbours, it may forget at any time " * 3
+    assert ids(small, text) == library.encode(text) == ids(codec, text)
+
+
+def test_unknown_characters_without_bytes():
+    """Unknown characters that follow one another have one id, wherever blocks end; texts stay apart."""
+    found = [("<unk>", 0.0, pieces.UNKNOWN), *((p, -1.0 - len(p), pieces.NORMAL) for p in ["▁", "a", "b", "ab", "▁a"])]
+    for model in (pieces.UNIGRAM, pieces.BPE):
+        codec = pieces.Codec(pieces.Vocabulary(found, model, True, False))
+        for block in (1 << 18, 8):
+            pieces.BLOCK, before = block, pieces.BLOCK
+            made, sizes = codec.encode_all(["xyz a qq", "qq", "", "aqqb" * 9, "x" * 100])
+            pieces.BLOCK = before
+            texts = [x.tolist() for x in np.split(made, np.cumsum(sizes)[:-1])]
+            assert texts[0].count(0) == 2 and texts[1].count(0) == 1 and texts[2] == [] and texts[3].count(0) == 9 and texts[4].count(0) == 1

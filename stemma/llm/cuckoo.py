@@ -6,6 +6,8 @@ import numpy as np
 
 SLOTS = 4
 KICKS = 500
+#: Part of the slots that is filled at most, so that kicks stay short, and the bits of a mark.
+LOAD, MARKS = 0.9, 0xFFFF
 
 
 class CuckooFilter:
@@ -30,7 +32,7 @@ class CuckooFilter:
         return self.table.tobytes()
 
     def _places(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mark = (lo.view(np.uint64) >> np.uint64(48)).astype(np.uint16)
+        mark = (lo.view(np.uint64) >> np.uint64(48)).astype(np.uint16) & np.uint16(MARKS)
         mark[mark == 0] = 1
         one = (hi.view(np.uint64) & np.uint64(len(self.table) - 1)).astype(np.int64)
         return mark, one, self._other(one, mark)
@@ -56,6 +58,12 @@ class CuckooFilter:
 
     def add(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """Add keys; returns True for those that found no place (the filter is full)."""
+        room = max(0, int(LOAD * self.table.size) - np.count_nonzero(self.table))
+        if len(hi) > room:
+            failed = np.ones(len(hi), bool)
+            if room:
+                failed[:room] = self.add(hi[:room], lo[:room])
+            return failed
         mark, one, two = self._places(hi, lo)
         left = np.flatnonzero(~self._fill(one, mark))
         left = left[~self._fill(two[left], mark[left])]
@@ -96,3 +104,17 @@ class CuckooFilter:
             else:
                 missing[i] = True
         return missing
+
+
+def filled(hi: np.ndarray, lo: np.ndarray, filters: list[CuckooFilter], spare: int = 0) -> list[CuckooFilter]:
+    """The filters with more keys; further ones, with room for ``spare`` keys at least, are opened until all have a place."""
+    for f in filters:
+        if len(hi):
+            full = f.add(hi, lo)
+            hi, lo = hi[full], lo[full]
+    made = list(filters)
+    while len(hi):
+        made.append(CuckooFilter(max(len(hi), spare)))
+        full = made[-1].add(hi, lo)
+        hi, lo = hi[full], lo[full]
+    return made

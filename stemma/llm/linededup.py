@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.cuckoo import CuckooFilter
+from stemma.llm.cuckoo import CuckooFilter, filled
 from stemma.llm.texts import map_arrow
 from stemma.shared import materialise, spread
 
@@ -20,8 +20,10 @@ SHORTEST = 10
 DOCUMENTS = 2
 #: Keys of one filter shard, about.
 SHARD_KEYS = 400_000
-#: A filter of the shared keys is sent to all executors only up to so many bytes.
-SENT_BYTES = 16 << 20
+#: References that are looked up in one shard's filters at once, about.
+PART_REFERENCES = 1_000_000
+#: Tables of references that an index keeps side by side before they are written as one.
+SEGMENTS = 16
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -52,14 +54,35 @@ def references(docs: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "doc_id long, hi long, lo long")
 
 
-def _by_shard(rows: DataFrame, filters: DataFrame, function, schema: str) -> DataFrame:
-    """Apply ``function(shard, keys table, filters)`` to each shard; a shard is bounded."""
+def _by_shard(rows: DataFrame, filters: DataFrame, function, schema: str, keys: tuple[str, ...] = ("shard",)) -> DataFrame:
+    """Apply ``function(shard, rows, filters)`` to each shard, or bounded part of one.
+
+    ``filters`` are two lists: those of the live keys and those of the shared ones.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shard = (left if left.num_rows else right).column("shard")[0].as_py()
-        return function(shard, left, [CuckooFilter.from_bytes(b.as_py()) for b in right.column("filter")])
+        held = ([], [])
+        for shared, blob in zip(right.column("shared").to_pylist(), right.column("filter")):
+            held[shared].append(CuckooFilter.from_bytes(blob.as_py()))
+        return function(shard, left, held)
+
+    return rows.groupBy(*keys).cogroup(filters.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _seen(hi: np.ndarray, lo: np.ndarray, filters: list[CuckooFilter]) -> np.ndarray:
+    seen = np.zeros(len(hi), bool)
+    for f in filters:
+        seen |= f.has(hi, lo)
+    return seen
 
-    return rows.groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(run, schema)
+
+def _filter_rows(shard: int, filters: tuple[list[CuckooFilter], list[CuckooFilter]]) -> pa.Table:
+    both = [(shared, f.to_bytes()) for shared in (False, True) for f in filters[shared]]
+    return pa.table({"shard": pa.array([shard] * len(both), pa.int32()), "shared": pa.array([x for x, _ in both], pa.bool_()), "filter": pa.array([x for _, x in both], pa.binary())})
+
+
+FILTERS = "shard int, shared boolean, filter binary"
 
 
 @dataclass
@@ -68,67 +91,75 @@ class LineIndex:
 
     ``refs`` (doc_id, hi, lo) is the exact table of references; ``counts`` (hi, lo,
     documents, first_doc) counts them for keys of two or more documents, a key
-    outside it having one; ``filters`` (shard, filter) holds the live keys of each
-    shard in one or more cuckoo filters. A key that no filter knows is new without
-    a look at the tables. Each change returns a new index and leaves the old one.
+    outside it having one. ``filters`` (shard, shared, filter) holds for each shard
+    cuckoo filters with one entry for every live key, and others with one for every
+    key of ``counts``. A key that no live filter knows is new without a look at the
+    tables; only references that a shared filter knows are looked up in ``counts``.
+    Each change returns a new index and leaves the old one.
     """
 
     refs: DataFrame
     counts: DataFrame
     filters: DataFrame
     shards: int
+    segments: int = 1
 
     @staticmethod
     def build(docs: DataFrame) -> LineIndex:
         """Index a first batch of documents."""
-        spark = docs.sparkSession
-        refs = materialise(references(docs).distinct() if _repeats(docs) else references(docs), "line-refs")
+        return LineIndex._of(materialise(references(docs).distinct() if _repeats(docs) else references(docs), "line-refs"))
+
+    @staticmethod
+    def _of(refs: DataFrame) -> LineIndex:
         # A multiple of the shuffle's partitions: every task then holds whole shards.
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         shards = parts * max(1, -(-refs.count() // (parts * SHARD_KEYS)))
         counted = refs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("first_doc"))
         made = materialise(_filtered(counted, shards), "line-counts")
         counts = made.where(F.col("filter").isNull()).select("hi", "lo", "documents", "first_doc")
-        return LineIndex(refs, counts, made.where(F.col("filter").isNotNull()).select("shard", "filter"), shards)
+        return LineIndex(refs, counts, made.where(F.col("filter").isNotNull()).select("shard", "shared", "filter"), shards)
 
     def _shard(self):
         return F.pmod(F.hash("hi", "lo"), F.lit(self.shards)).alias("shard")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Add documents; ids that the index holds already are left as they are."""
+        """Add documents; ids that the index holds already are left as they are.
+
+        An index whose references outgrow its shards twice over is built anew with
+        more of them, so a shard stays bounded.
+        """
         new = references(docs.join(self.refs.select("doc_id").distinct(), "doc_id", "left_anti")).distinct()
         new = materialise(new, "new-refs")
+        refs, segments = self.refs.unionByName(new), self.segments + 1
+        if segments > SEGMENTS:
+            refs, segments = materialise(refs, "line-refs"), 1
+        if refs.count() > 2 * SHARD_KEYS * self.shards:
+            return LineIndex._of(materialise(refs, "line-refs"))
 
         def probe(shard, keys, filters):
             hi, lo = (keys.column(c).to_numpy() for c in ("hi", "lo"))
-            seen = np.zeros(len(hi), bool)
-            for f in filters:
-                seen |= f.has(hi, lo)
-            return pa.table({"shard": pa.array([shard] * len(hi), pa.int32()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "seen": pa.array(seen, pa.bool_())})
-
-        def extend(shard, keys, filters):
-            hi, lo = (keys.column(c).to_numpy() for c in ("hi", "lo"))
-            for f in filters:
-                full = f.add(hi, lo)
-                hi, lo = hi[full], lo[full]
-            while len(hi):
-                extra = CuckooFilter(2 * max(len(hi), SHARD_KEYS) if filters else SHARD_KEYS)
-                full = extra.add(hi, lo)
-                hi, lo = hi[full], lo[full]
-                filters.append(extra)
-            return pa.table({"shard": pa.array([shard] * len(filters), pa.int32()), "filter": pa.array([f.to_bytes() for f in filters], pa.binary())})
+            return pa.table({"shard": pa.array([shard] * len(hi), pa.int32()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "seen": pa.array(_seen(hi, lo, filters[False]), pa.bool_())})
 
         keys = new.select(self._shard(), "hi", "lo").distinct()
         probed = materialise(_by_shard(keys, self.filters, probe, "shard int, hi long, lo long, seen boolean"), "probed")
         # Only keys that a filter knows need the old references; some are seen through the marks of other keys.
         known = materialise(self.refs.join(probed.where("seen").select("hi", "lo"), ["hi", "lo"], "left_semi"), "known-refs")
-        # So that each live key has one entry of its own, every key without old references is added.
+        touched = materialise(_counted(known.select("doc_id", "hi", "lo").unionByName(new)), "touched-counts")
+        # So that each key has one entry of its own, every key without old references is added, seen or not.
         fresh = probed.join(known.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").select("shard", "hi", "lo")
-        filters = materialise(_by_shard(fresh, self.filters, extend, "shard int, filter binary"), "line-filters")
-        refs = materialise(self.refs.unionByName(new), "line-refs")
-        touched = _counted(known.select("doc_id", "hi", "lo").unionByName(new))
+        risen = touched.join(self.counts.select("hi", "lo"), ["hi", "lo"], "left_anti").select(self._shard(), "hi", "lo")
+        more = fresh.withColumn("shared", F.lit(False)).unionByName(risen.withColumn("shared", F.lit(True)))
+
+        def extend(shard, keys, filters):
+            made = ([], [])
+            for kind in (False, True):
+                own = keys.filter(pa.array(keys.column("shared").to_numpy() == kind))
+                made[kind].extend(filled(own.column("hi").to_numpy(), own.column("lo").to_numpy(), filters[kind], 2 * SHARD_KEYS if filters[kind] else own.num_rows))
+            return _filter_rows(shard, made)
+
+        filters = materialise(_by_shard(more, self.filters, extend, FILTERS), "line-filters")
         counts = self.counts.join(new.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").unionByName(touched)
-        return LineIndex(refs, materialise(counts, "line-counts"), filters, self.shards)
+        return LineIndex(refs, materialise(counts, "line-counts"), filters, self.shards, segments)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Take documents (column doc_id) out again; lines they held alone are forgotten."""
@@ -137,41 +168,57 @@ class LineIndex:
         refs = materialise(self.refs.join(ids, "doc_id", "left_anti"), "line-refs")
         touched = gone.select("hi", "lo").distinct()
         left = materialise(refs.join(touched, ["hi", "lo"], "left_semi"), "left-refs")
-        counts = materialise(self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(_counted(left)), "line-counts")
+        recounted = materialise(_counted(left), "touched-counts")
+        counts = materialise(self.counts.join(touched, ["hi", "lo"], "left_anti").unionByName(recounted), "line-counts")
 
         def forget(shard, keys, filters):
-            hi, lo = (keys.column(c).to_numpy() for c in ("hi", "lo"))
-            for f in filters:
-                f.remove(hi, lo)
-            return pa.table({"shard": pa.array([shard] * len(filters), pa.int32()), "filter": pa.array([f.to_bytes() for f in filters], pa.binary())})
+            for kind in (False, True):
+                own = keys.filter(pa.array(keys.column("shared").to_numpy() == kind))
+                for f in filters[kind]:
+                    f.remove(own.column("hi").to_numpy(), own.column("lo").to_numpy())
+            return _filter_rows(shard, filters)
 
         def rebuild(shard, keys, filters):
-            hi, lo = (keys.column(c).to_numpy() for c in ("hi", "lo"))
-            made = []
-            while len(hi):
-                f = CuckooFilter(2 * max(len(hi), SHARD_KEYS))
-                full = f.add(hi, lo)
-                hi, lo = hi[full], lo[full]
-                made.append(f)
-            return pa.table({"shard": pa.array([shard] * len(made), pa.int32()), "filter": pa.array([f.to_bytes() for f in made], pa.binary())})
+            made = ([], [])
+            for kind in (False, True):
+                own = keys.filter(pa.array(keys.column("shared").to_numpy() == kind))
+                made[kind].extend(filled(own.column("hi").to_numpy(), own.column("lo").to_numpy(), [], 2 * own.num_rows))
+            return _filter_rows(shard, made)
 
         # Within one filter equal marks share both buckets, so any entry will do. Of several filters a mark
-        # does not tell which holds the key: those of such shards are made anew from the live keys.
-        several = materialise(self.filters.groupBy("shard").agg(F.count(F.lit(1)).alias("filters")).where("filters > 1").select("shard"), "many-filters")
-        dead = touched.join(left.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").select(self._shard(), "hi", "lo")
-        made = _by_shard(dead.join(several, "shard", "left_anti"), self.filters.join(several, "shard", "left_anti"), forget, "shard int, filter binary")
+        # does not tell which holds the key: those of such shards are made anew from the exact tables.
+        several = self.filters.groupBy("shard", "shared").agg(F.count(F.lit(1)).alias("filters")).where("filters > 1").select("shard").distinct()
+        several = materialise(several, "many-filters")
+        dead = touched.join(left.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").select(self._shard(), "hi", "lo", F.lit(False).alias("shared"))
+        fallen = self.counts.join(touched, ["hi", "lo"], "left_semi").join(recounted.select("hi", "lo"), ["hi", "lo"], "left_anti").select(self._shard(), "hi", "lo", F.lit(True).alias("shared"))
+        made = _by_shard(dead.unionByName(fallen).join(several, "shard", "left_anti"), self.filters.join(several, "shard", "left_anti"), forget, FILTERS)
         if not several.isEmpty():
-            live = refs.select(self._shard(), "hi", "lo").join(several, "shard", "left_semi").distinct()
-            made = made.unionByName(_by_shard(live, self.filters.join(several, "shard", "left_semi"), rebuild, "shard int, filter binary"))
+            live = refs.select(self._shard(), "hi", "lo").distinct().withColumn("shared", F.lit(False))
+            live = live.unionByName(counts.select(self._shard(), "hi", "lo", F.lit(True).alias("shared"))).join(several, "shard", "left_semi")
+            made = made.unionByName(_by_shard(live, self.filters.join(several, "shard", "left_semi"), rebuild, FILTERS))
         return LineIndex(refs, counts, materialise(made, "line-filters"), self.shards)
 
     def drops(self) -> DataFrame:
-        """Rows (doc_id, hi, lo): the keys whose lines each document loses."""
-        refs = self.refs
-        filters = _small_filters(self.counts)
-        if filters is not None:
-            refs = _maybe(refs, filters)
-        return refs.join(self.counts, ["hi", "lo"]).where(F.col("doc_id") != F.col("first_doc")).select("doc_id", "hi", "lo")
+        """Rows (doc_id, hi, lo): the keys whose lines each document loses.
+
+        Every shard's filter of shared keys is asked for the references of that
+        shard; only those that it knows meet the exact counts. A shard of many
+        references, as one with a line that a third of all documents hold, is asked
+        in parts, each with its own copy of the filter.
+        """
+        placed = self.refs.withColumn("shard", self._shard())
+        sizes = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART_REFERENCES).cast("int").alias("parts"))
+        sizes = materialise(sizes, "shard-parts")
+        part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+        placed = placed.join(sizes, "shard").select("shard", part.alias("part"), "doc_id", "hi", "lo")
+        sent = self.filters.where("shared").join(sizes, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def known(shard, refs, filters):
+            hi, lo = (refs.column(c).to_numpy() for c in ("hi", "lo"))
+            return refs.select(["doc_id", "hi", "lo"]).filter(pa.array(_seen(hi, lo, filters[True]), pa.bool_()))
+
+        maybe = _by_shard(placed, sent, known, "doc_id long, hi long, lo long", ("shard", "part"))
+        return maybe.join(self.counts, ["hi", "lo"]).where(F.col("doc_id") != F.col("first_doc")).select("doc_id", "hi", "lo")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -185,71 +232,40 @@ def _counted(refs: DataFrame) -> DataFrame:
 
 
 def _filtered(counted: DataFrame, shards: int) -> DataFrame:
-    """The counts of shared keys, and for every shard a filter of all its keys."""
-    schema = pa.schema([("shard", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("documents", pa.int64()), ("first_doc", pa.int64()), ("filter", pa.binary())])
-
-    def rows(shard, hi, lo, documents, first, filters):
-        columns = [pa.array(shard, pa.int32()), *(pa.array(c, pa.int64()) for c in (hi, lo, documents, first)), pa.array(filters, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    def run(batches):
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            shard, hi, lo, documents, first = (batch.column(i).to_numpy() for i in range(5))
-            shared = documents >= DOCUMENTS
-            yield rows(shard[shared], hi[shared], lo[shared], documents[shared], first[shared], [None] * int(shared.sum()))
-            order = np.argsort(shard, kind="stable")
-            for s, part in zip(*(lambda v, at: (v.tolist(), np.split(order, at[1:])))(*np.unique(shard[order], return_index=True))):
-                held.setdefault(s, []).append(np.stack((hi[part], lo[part])))
-        for s in list(held):
-            hi, lo = np.concatenate(held.pop(s), axis=1)
-            size = len(hi)
-            filters = []
-            while len(hi):
-                f = CuckooFilter(max(size, len(hi)))
-                full = f.add(hi, lo)
-                filters.append(f.to_bytes())
-                hi, lo = hi[full], lo[full]
-            none = [None] * len(filters)
-            yield rows([s] * len(filters), none, none, none, none, filters)
-
-    shard = F.pmod(F.hash("hi", "lo"), F.lit(shards)).alias("shard")
-    return map_arrow(counted.select(shard, "hi", "lo", "documents", "first_doc"), run, "shard int, hi long, lo long, documents long, first_doc long, filter binary", rows=1 << 16)
-
-
-def _small_filters(counts: DataFrame) -> list[bytes] | None:
-    """Filters of the shared keys, if they keep within the bytes that may be sent to all."""
-    keys = counts.count()
-    if keys * 5 > SENT_BYTES:
-        return None
-    parts = max(1, -(-keys // SHARD_KEYS))
+    """The counts of shared keys, and for every shard a filter of all its keys and one of the shared ones."""
+    names = ["shard", "hi", "lo", "documents", "first_doc", "shared", "filter"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    schema = pa.schema(list(zip(names, types)))
 
     def run(batches):
-        keys = [np.empty((2, 0), np.int64), *(np.stack((b.column(0).to_numpy(), b.column(1).to_numpy())) for b in batches)]
-        hi, lo = np.concatenate(keys, axis=1)
-        while len(hi):
-            f = CuckooFilter(len(hi))
-            full = f.add(hi, lo)
-            yield pa.RecordBatch.from_arrays([pa.array([f.to_bytes()], pa.binary())], names=["filter"])
-            hi, lo = hi[full], lo[full]
-
-    return [bytes(r[0]) for r in map_arrow(counts.select("hi", "lo").coalesce(parts), run, "filter binary", rows=1 << 16).collect()]
+        held: list[list[np.ndarray]] = []
+        own = None
 
+        def filters():
+            shard, hi, lo, documents = (np.concatenate(c) for c in zip(*held))
+            shared = documents >= DOCUMENTS
+            table = _filter_rows(own, (filled(hi, lo, []), filled(hi[shared], lo[shared], [])))
+            for batch in table.to_batches():
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.nulls(batch.num_rows, t) for t in types[1:5]), batch.column(1), batch.column(2)], schema=schema)
 
-def _maybe(refs: DataFrame, blobs: list[bytes]) -> DataFrame:
-    """The references whose key some filter knows."""
-    sent = refs.sparkSession.sparkContext.broadcast(blobs)
-
-    def run(batches):
-        filters = [CuckooFilter.from_bytes(b) for b in sent.value]
         for batch in batches:
-            hi, lo = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            seen = np.zeros(len(hi), bool)
-            for f in filters:
-                seen |= f.has(hi, lo)
-            yield batch.filter(pa.array(seen))
+            columns = [batch.column(i).to_numpy() for i in range(5)]
+            keep = columns[3] >= DOCUMENTS
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[keep], t) for c, t in zip(columns, types)), *(pa.nulls(int(keep.sum()), t) for t in types[5:])], schema=schema)
+            cuts = np.flatnonzero(np.diff(columns[0])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a < b:
+                    if own != columns[0][a]:
+                        if held:
+                            yield from filters()
+                        held, own = [], int(columns[0][a])
+                    held.append([c[a:b] for c in columns[:4]])
+        if held:
+            yield from filters()
 
-    return map_arrow(refs, run, "doc_id long, hi long, lo long", rows=1 << 16)
+    shard = F.pmod(F.hash("hi", "lo"), F.lit(shards)).alias("shard")
+    rows = counted.select(shard, "hi", "lo", "documents", "first_doc").sortWithinPartitions("shard")
+    return map_arrow(rows, run, "shard int, hi long, lo long, documents long, first_doc long, shared boolean, filter binary", rows=1 << 16)
 
 
 def _kept(text: bytes, drop: set[bytes]) -> tuple[bytes, int, int]:

@@ -50,10 +50,10 @@ def expected(rows):
     return sorted(((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in plain_dedup(rows)), key=str)
 
 
-@pytest.mark.parametrize("sent", [16 << 20, 10])
-def test_report(spark, words, monkeypatch, sent):
-    """With the filter of shared keys sent to all, and with the plain join instead."""
-    monkeypatch.setattr(L, "SENT_BYTES", sent)
+@pytest.mark.parametrize("part", [1_000_000, 7])
+def test_report(spark, words, monkeypatch, part):
+    """With the references of a shard asked for at once, and in parts."""
+    monkeypatch.setattr(L, "PART_REFERENCES", part)
     texts = lined(random.Random(1), words, 120)
     assert report(documents(spark, texts)) == expected(list(enumerate(texts)))
 
@@ -90,7 +90,7 @@ def test_reversible(spark, words):
     assert report(docs, less.insert(gone)) == expected(list(enumerate(texts)))
     # Lines that only deleted documents held are unknown to every filter, up to chance.
     dead = L.references(gone).join(less.refs, ["hi", "lo"], "left_anti").select("hi", "lo").distinct().collect()
-    filters = [CuckooFilter.from_bytes(bytes(r["filter"])) for r in less.filters.collect()]
+    filters = [CuckooFilter.from_bytes(bytes(r["filter"])) for r in less.filters.where("not shared").collect()]
     hi, lo = (np.array([r[c] for r in dead], np.int64) for c in ("hi", "lo"))
     assert sum(f.has(hi, lo) for f in filters).astype(bool).mean() < 0.05
 

@@ -176,7 +176,7 @@ def test_unigram_search_is_best():
         text = pieces.SPACE + "".join(rng.choice("aab") for _ in range(rng.randint(0, 60)))
         chosen = list(codec.search(text))
         assert "".join(chosen) == text and sum(score.get(p, codec.lowest) for p in chosen) == pytest.approx(best(text))
-        assert ids(codec, text[1:]) == [codec.ids[p] for p in chosen][: 99 * len(text[1:])]
+        assert len(text) == 1 or ids(codec, text[1:]) == [codec.ids[p] for p in chosen]
     assert ids(codec, "aqqb")[-1] == codec.ids["b"] and codec.unknown in ids(codec, "aqqb")
 
 

@@ -55,7 +55,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     Each row is judged alone, so nothing is shuffled. A null text counts as empty.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.regexp_replace(value, f"^{SPACE}|{SPACE}$", "")
+    trimmed = F.regexp_replace(value, rf"\A{SPACE}|{SPACE}\z", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 

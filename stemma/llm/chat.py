@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Turn numbers of one part of a conversation; a part is one output row for each perspective.
+#: Turns of one part of a conversation at most; a part is one output row for each perspective.
 PART = 1024
 NO_TURN = (1 << 63) - 1
 
@@ -25,12 +25,14 @@ def rotate(turns: DataFrame, part: int = PART, common: tuple[str, ...] = ("syste
     spans, an array of (start, end) in code points: the assistant's words and end
     markers, on which to learn.
 
-    A part holds ``part`` turn numbers, so a conversation of any length is split over
-    rows and tasks; its parts joined in order are the whole dialogue. The texts are
-    shuffled once, by conversation and part, before they multiply.
+    Blocks of ``part`` turn numbers are ordered by themselves and cut into parts of at
+    most ``part`` turns, so a conversation of any length is split over tasks and its
+    rows are bounded, also where a turn number repeats or is null. Parts are counted
+    from 0; joined in order they are the whole dialogue. The texts are shuffled once,
+    by conversation and block, before they multiply.
 
     Null role: the name ``unknown``. Null text: an empty turn. Null turn: after all
-    others, in a part of its own. Equal turns follow in the order of role and text;
+    others, in a block of its own. Equal turns follow in the order of role and text;
     repeated rows are separate turns. Null conv_id: one more conversation. A
     conversation of common roles only gives no row, an empty table an empty result.
     Markers inside texts and names are broken up by a space. Other columns are
@@ -41,16 +43,19 @@ def rotate(turns: DataFrame, part: int = PART, common: tuple[str, ...] = ("syste
         F.col("conv_id"),
         F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"),
         F.col("conv_id").isNull().alias("keyless"),
-        F.coalesce(F.floor(turn / part), F.lit(NO_TURN)).alias("part"),
+        F.coalesce(F.floor(turn / part), F.lit(NO_TURN)).alias("block"),
         F.coalesce(turn, F.lit(NO_TURN)).alias("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         _escaped(F.col("text")).alias("text"),
     )
     keys = ["key", "keyless"]
-    collected = rows.groupBy(*keys, "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "block").orderBy("turn", "role", "text")) - 1
+    cut = rows.withColumn("nth", nth).withColumn("cut", F.expr(f"nth div {part}"))
+    collected = cut.groupBy(*keys, "block", "cut").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    blocks = rows.groupBy(*keys, "block").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
+    blocks = blocks.withColumn("first", F.sum("parts").over(Window.partitionBy(*keys).orderBy("block")) - F.col("parts"))
     speakers = rows.where(~F.col("role").isin(*common)).select(*keys, F.col("role").alias("perspective")).distinct()
-    views = rows.select(*keys, "part").distinct().join(speakers, keys)
-    joined = collected.join(views, [*keys, "part"])
+    joined = collected.join(blocks.join(speakers, keys), [*keys, "block"]).withColumn("part", F.col("first") + F.col("cut"))
 
     def piece(t: Column) -> Column:
         own, shared = t["role"] == F.col("perspective"), t["role"].isin(*common)
@@ -86,17 +91,21 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH r AS (
-  SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(turn // 1024, 9223372036854775807) AS part,
+  SELECT conv_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(turn // 1024, 9223372036854775807) AS block,
          coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations
+), b AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, block ORDER BY turn, role, text) - 1) // 1024 AS cut FROM r
+), c AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY block, cut) - 1 AS part FROM b
 ), s AS (
   SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'
 ), p AS (
-  SELECT r.*, s.perspective, r.role = s.perspective AS own,
-         '<|im_start|>' || CASE WHEN r.role = s.perspective THEN 'assistant' WHEN r.role = 'system' THEN 'system'
-                           ELSE 'user name=' || replace(r.role, '<|', '< |') END || chr(10) AS head,
-         r.text || '<|im_end|>' AS body
-  FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
+  SELECT c.*, s.perspective, c.role = s.perspective AS own,
+         '<|im_start|>' || CASE WHEN c.role = s.perspective THEN 'assistant' WHEN c.role = 'system' THEN 'system'
+                           ELSE 'user name=' || replace(c.role, '<|', '< |') END || chr(10) AS head,
+         c.text || '<|im_end|>' AS body
+  FROM c JOIN s ON c.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
   SELECT *, row_number() OVER w AS nth,
          sum(length(head) + length(body) + 1) OVER (w ROWS UNBOUNDED PRECEDING) - length(body) - 1 AS start_at

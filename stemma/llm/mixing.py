@@ -18,6 +18,13 @@ NEAR = 1e-9
 MOST_STEPS = 60
 #: Turns in which the rest of a target is filled, each by smaller documents.
 TURNS = 4
+#: Buckets in which the waiting documents of a source are ordered: least number in a factor e of their order, and rows of one, about.
+LEAST_BUCKETS, BUCKET_ROWS = 1024, 100_000
+
+
+def _exact_sum(value: Column) -> Column:
+    """A sum of doubles, each taken to nine places, that does not depend on their order."""
+    return F.sum(value.cast("decimal(38,9)")).cast("double")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = CAP) -> DataFrame:
@@ -60,11 +67,12 @@ def multipliers(counts: DataFrame, goals: DataFrame, mean: int, cap: int = CAP)
     convex in each multiplier; a step sums gradient and curvature over the counts
     of documents by (source, size) and is halved into the bracket where it leaves
     it. A source whose target is cap times its size needs no multiplier: all its
-    rates are the cap. A target of zero gives rates of zero.
+    rates are the cap. A target of zero gives rates of zero. All sums are exact, so
+    reruns agree to the last bit, however rows are spread over tasks.
     """
     size, low, high, at = (F.col(c) for c in ("size", "low", "high", "multiplier"))
     tokens = F.col("size") * F.col("documents")
-    slope = counts.groupBy("stratum").agg((F.sum(tokens * _coefficient(size, mean)) / F.sum(tokens)).alias("slope"))
+    slope = counts.groupBy("stratum").agg((_exact_sum(tokens * _coefficient(size, mean)) / F.sum(tokens)).alias("slope"))
     free = (F.col("target") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12))
     ratio = F.log(F.col("target") / F.col("source_size"))
     state = goals.where(free).join(slope, "stratum").select(
@@ -76,8 +84,8 @@ def multipliers(counts: DataFrame, goals: DataFrame, mean: int, cap: int = CAP)
     for step in range(MOST_STEPS):
         rate = _rate(size, at, mean, cap)
         sums = counts.join(state, "stratum").groupBy("stratum", "target", "low", "high", "multiplier").agg(
-            F.sum(tokens * rate).alias("got"),
-            F.sum(F.when(rate < cap, tokens * rate * _coefficient(size, mean)).otherwise(0.0)).alias("curve"),
+            _exact_sum(tokens * rate).alias("got"),
+            _exact_sum(F.when(rate < cap, tokens * rate * _coefficient(size, mean)).otherwise(0.0)).alias("curve"),
         )
         over = F.col("got") - F.col("target")
         bracketed = sums.withColumn("low", F.when(over <= 0, at).otherwise(low)).withColumn("high", F.when(over >= 0, at).otherwise(high))
@@ -89,9 +97,7 @@ def multipliers(counts: DataFrame, goals: DataFrame, mean: int, cap: int = CAP)
         if state.where(~F.col("near")).isEmpty():
             break
         state = state.drop("near")
-    # Sums of doubles depend on their order in the last bits; so far as these digits reach, reruns agree.
-    solved = state.select("stratum", F.round("multiplier", 6).alias("multiplier"))
-    return goals.join(solved, "stratum", "left")
+    return goals.join(state.select("stratum", "multiplier"), "stratum", "left")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: int = CAP, seed: int = 5) -> DataFrame:
@@ -108,7 +114,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     nothing. Null source: a source of its own, last in order. Repeated rows and
     repeated ids are separate documents of equal rate. Empty table: empty result.
     Other columns are ignored, whatever their names. Running sums go by buckets, so
-    no source is ordered in one task; texts are read once and never moved.
+    no source is ordered in one task; texts are read once and never moved. A bucket
+    spans a fixed part of a factor e in u / fraction; as u is even from 0 to 1, each
+    holds at most about that part of its source, whatever the fractions are.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 1) / float(16**12 + 1)
@@ -126,7 +134,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     rated = rows.join(solved, "stratum").withColumn("rate", rate).withColumn("whole", F.floor("rate"))
     rest = F.col("rate") - F.col("whole")
     turn = F.when(rest > 1e-9, F.col("u") / rest)
-    rated = rated.withColumn("turn", turn).withColumn("bucket", F.floor(1024 * F.col("turn") / (1 + F.col("turn"))).cast("int"))
+    buckets = max(LEAST_BUCKETS, (n or 0) // BUCKET_ROWS)
+    rated = rated.withColumn("turn", turn).withColumn("bucket", F.floor(buckets * F.log("turn")))
     rated = materialise(rated, "rates")
 
     order = ["turn", "doc_id", "size"]

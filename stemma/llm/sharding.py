@@ -9,6 +9,10 @@ from stemma.functions.positions import with_positions
 from stemma.shared import materialise
 
 
+#: Buckets by which rows are ranked: least number, and rows of one, about.
+LEAST_BUCKETS, BUCKET_ROWS = 4096, 100_000
+
+
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     """Put every row into one of ``shards`` shards that all match the mixture of sources.
 
@@ -17,8 +21,8 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
     their fractions (then source) are cut into runs whose lengths differ by one at
     most. Returns doc_id, source, size, text_crc32, shard, slot.
 
-    Ranks are taken in buckets (see ``with_positions``), so a source with a third of
-    all rows is no single task; only four short columns are moved, never a text.
+    Ranks are taken in buckets (see ``with_positions``) of some ``BUCKET_ROWS`` rows at
+    most, so a source with a third of all rows is no single task; only four short columns are moved, never a text.
     Null text: size 16 and the checksum of an empty text. Null source: a stratum of
     its own. Null doc_id: ranked like one more id. Repeated rows are separate rows;
     rows that agree in every column may change places, which shows nowhere. Empty
@@ -33,13 +37,16 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("stratum"),
         digest.alias("digest"),
-    ).withColumn("bucket", F.conv(F.substring("digest", 1, 3), 16, 10).cast("int"))
+    )
     rows = materialise(rows, "shard-rows")  # so that texts are read once
+    buckets = max(LEAST_BUCKETS, rows.count() // BUCKET_ROWS)
+    digits = next(d for d in range(1, 16) if 16**d >= buckets)
+    rows = rows.withColumn("bucket", F.conv(F.substring("digest", 1, digits), 16, 10).cast("long"))
     ties = ["doc_id", "text_crc32", "size"]
     ranked = with_positions(rows, ["stratum"], "bucket", ["digest", *ties], "rank", "of")
     fraction = (F.col("rank") + 0.5) / F.col("of")
     placed = with_positions(
-        ranked.withColumn("fraction", fraction).withColumn("bucket", F.floor(F.col("fraction") * 4096).cast("int")),
+        ranked.withColumn("fraction", fraction).withColumn("bucket", F.floor(F.col("fraction") * buckets)),
         [], "bucket", ["fraction", "stratum", "digest", *ties], "at", "n",
     )
     shard = F.expr(f"((at + 1) * {shards} - 1) div n")

@@ -1,7 +1,8 @@
 """URL filters: host and path rules, and boosted trees on lexical features for the rest.
 
-Only built-in functions run over the tables; the driver sees counts by tree node,
-feature and bin.
+Only built-in functions run over the tables. The driver gets the features of a
+bounded sample of labelled addresses, on which it boosts the trees; they come back
+as conditional expressions.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from stemma.shared import materialise
 
 #: Verdict, host, start of the path; a rule fits its host and all subdomains.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Labelled addresses that trees are fitted on at most: thirteen numbers each on the driver.
+SAMPLE = 20_000
 TREES = 12
 DEPTH = 3
 RATE = 0.3
@@ -129,83 +133,57 @@ def _binned(rows: DataFrame, names: list[str], cuts: list[list[float]]) -> Colum
     return F.array(*(F.size(F.filter(F.array(*map(F.lit, c)).cast("array<double>"), below(F.col(f"`{n}`")))) for n, c in zip(names, cuts)))
 
 
-def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> UrlModel:
+def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, sample: int = SAMPLE) -> UrlModel:
     """Boost logistic trees on rows with url, host, path and a boolean ``blocked``.
 
-    Rows are binned at quantiles and counted by their bins and label first, so each
-    level of a tree is one aggregation over different bin vectors: sums of gradient
-    and curvature by node, feature and bin, of which the driver gets a few hundred
-    numbers. All labelled rows count; sums are rounded before they are compared, so
-    reruns agree.
+    The suffix statistics count all labelled rows. Cuts and trees are fitted on at
+    most ``sample`` of them, those lowest by digest of the address. Sums are rounded
+    before they are compared, so reruns agree.
     """
     y = F.col("blocked").cast("int")
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.regexp_extract(*v).alias("suffix")) for k, v in SUFFIXES.items()))
     counted = labelled.select(y.alias("y"), F.inline(kinds)).groupBy("kind", "suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("blocked"))
     suffixes = materialise(counted, "suffixes")
-    n, blocked = labelled.agg(F.count(F.lit(1)), F.sum(y)).first()
-    blocked = blocked or 0
+    n, blocked = suffixes.where(F.col("kind") == "top suffix").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     prior = (blocked + 0.5) / (n + 1)
     names = [*_lexical(), *SUFFIXES]
     model = UrlModel(names, [[] for _ in names], suffixes, prior, round(math.log(prior / (1 - prior)), 9))
     if not blocked or blocked == n:
         model.base = -20.0 if not blocked else 20.0
         return model
-    rows = labelled.select(*(v.cast("double").alias(k) for k, v in _lexical().items()), "host", "path", y.alias("y"))
-    rows = materialise(_with_suffix_rates(rows, suffixes, prior).select("y", *(F.col(f"`{k}`") for k in names)), "url-features")
+    chosen = labelled.orderBy(F.xxhash64("url", F.lit(2)), "url", "blocked").limit(sample)
+    rows = chosen.select("url", *(v.cast("double").alias(k) for k, v in _lexical().items()), "host", "path", y.alias("y"))
+    rows = _with_suffix_rates(rows, suffixes, prior).select("y", *(F.col(f"`{k}`") for k in names)).collect()
+    made = np.array(sorted(map(tuple, rows)), float).reshape(-1, 1 + len(names))
+    y, values = made[:, 0], made[:, 1:]
     steps = [i / BINS for i in range(1, BINS)]
-    quantiles = rows.agg(*(F.percentile_approx(F.col(f"`{k}`"), steps, 1000).alias(k) for k in names)).first()
-    model.cuts = [sorted(set(quantiles[k])) for k in names]
-    vectors = rows.select(_binned(rows, names, model.cuts).alias("bins"), "y").groupBy("bins").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones"))
-    vectors = materialise(vectors.withColumn("margin", F.lit(model.base)), "url-vectors")
-    for k in range(trees):
-        tree = _grown(vectors, names, depth, rate)
+    model.cuts = [sorted(set(np.quantile(column, steps, method="inverted_cdf").tolist())) for column in values.T]
+    bins = np.stack([np.searchsorted(cuts, column) for cuts, column in zip(model.cuts, values.T)], axis=1)
+    margin = np.full(len(y), model.base)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        tree, value = _grown(bins, y - p, p * (1 - p), depth, rate)
         model.trees.append(tree)
-        if k + 1 < trees:
-            vectors = materialise(vectors.withColumn("margin", F.col("margin") + tree.column()), "url-vectors")
+        margin += value
     return model
 
 
-def _grown(vectors: DataFrame, names: list[str], depth: int, rate: float) -> Node:
-    p = 1 / (1 + F.exp(-F.col("margin")))
-    sums = vectors.select("bins", (F.col("ones") - F.col("n") * p).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
-    root = Node()
-    open_nodes, where = [root], F.lit(0)
-    for level in range(depth + 1):
-        split = level < depth
-        if split:
-            cells = sums.withColumn("node", where).select("node", "g", "h", F.posexplode("bins").alias("feature", "bin"))
-        else:
-            cells = sums.select(where.alias("node"), "g", "h", F.lit(0).alias("feature"), F.lit(0).alias("bin"))
-        found = cells.where("node >= 0").groupBy("node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        table = {(r["node"], r["feature"], r["bin"]): (r["g"], r["h"]) for r in found}
-        following: list[Node] = []
-        path = F.lit(-1)
-        for i, node in enumerate(open_nodes):
-            own = {k[1:]: v for k, v in table.items() if k[0] == i}
-            g, h = (sum(v[j] for k, v in own.items() if k[0] == 0) for j in (0, 1))
-            node.value = round(rate * g / (h + RIDGE), 6)
-            best = (1e-6, -1, -1)
-            for f in range(len(names)) if split else ():
-                bins = sorted(b for k, b in own if k == f)
-                a = c = 0.0
-                for b in bins[:-1]:
-                    a, c = a + own[f, b][0], c + own[f, b][1]
-                    gain = round(a * a / (c + RIDGE) + (g - a) ** 2 / (h - c + RIDGE) - g * g / (h + RIDGE), 6)
-                    if gain > best[0]:
-                        best = (gain, f, b)
-            if best[1] >= 0:
-                node.feature, node.cut = best[1:]
-                node.left, node.right = Node(), Node()
-                left = len(following)
-                following += [node.left, node.right]
-                side = F.when(F.get("bins", F.lit(node.feature)) <= node.cut, left).otherwise(left + 1)
-                path = F.when(F.col("__node") == i, side).otherwise(path)
-        if not following:
-            break
-        sums = sums.withColumn("__node", where if level == 0 else F.col("__node"))
-        sums = sums.withColumn("__node", path)
-        open_nodes, where = following, F.col("__node")
-    return root
+def _grown(bins: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float) -> tuple[Node, np.ndarray]:
+    """A tree on gradients and curvatures, and its value for each row."""
+    node, value = Node(round(rate * g.sum() / (h.sum() + RIDGE), 6)), np.empty(len(g))
+    value[:] = node.value
+    best = (1e-6, -1, -1)
+    for f in range(bins.shape[1]) if depth else ():
+        a, c = (np.cumsum(np.bincount(bins[:, f], weights=w)) for w in (g, h))
+        gains = np.round(a * a / (c + RIDGE) + (a[-1] - a) ** 2 / (c[-1] - c + RIDGE) - a[-1] ** 2 / (c[-1] + RIDGE), 6)[:-1]
+        if len(gains) and gains.max() > best[0]:
+            best = (gains.max(), f, int(gains.argmax()))
+    if best[1] >= 0:
+        node.feature, node.cut = best[1:]
+        low = bins[:, node.feature] <= node.cut
+        node.left, value[low] = _grown(bins[low], g[low], h[low], depth - 1, rate)
+        node.right, value[~low] = _grown(bins[~low], g[~low], h[~low], depth - 1, rate)
+    return node, value
 
 
 def judge(pages: DataFrame, rules=RULES, trees: int = TREES) -> DataFrame:
@@ -217,7 +195,8 @@ def judge(pages: DataFrame, rules=RULES, trees: int = TREES) -> DataFrame:
     kind that was seen, else allow.
 
     Null url, or one without ``://``: host and path are empty, and the trees judge
-    it. Null page_id and repeated rows: each row is judged. Empty table: empty
+    it. A very long url is judged whole; its row is never moved but for its suffixes.
+    Null page_id and repeated rows: each row is judged. Empty table: empty
     result. Other columns are ignored, whatever their names.
     """
     rule, says = rule_of(rules)

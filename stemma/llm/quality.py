@@ -224,7 +224,10 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """Add statistics, base_failed, the rejecting ``rule`` (null: none) and ``kept``.
 
     Null or empty text: no words, so the base rule rejects it. Null or repeated ids
-    and repeated rows: each row is judged by its own text. Empty table: empty result.
+    and repeated rows: each row is judged by its own text. A very long text is judged
+    whole, its words and windows as arrays of its one row. Empty table: empty result.
+    Columns that have the names of the added ones are replaced by them; all others
+    pass unchanged.
     """
     rows = with_statistics(docs).withColumn("rule", rules.column())
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())

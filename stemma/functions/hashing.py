@@ -16,6 +16,8 @@ BASE = 37
 STRONG = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MASK = (1 << 64) - 1
 SPACE = 32
+#: Texts that are hashed together at least.
+TOGETHER = 32
 
 
 def code_points(text: str) -> np.ndarray:
@@ -75,6 +77,32 @@ def theme_id(text: str) -> int:
     return h | (len(data) << 32)
 
 
+def theme_ids(texts: list[str]) -> np.ndarray:
+    """``theme_id`` of many texts, all of one place at once while enough of them are that long."""
+    data = [t.encode() for t in texts]
+    order = sorted(range(len(data)), key=lambda i: -len(data[i]))
+    h = np.full(len(data), 2166136261, np.uint32)
+    sizes = np.array([len(data[i]) for i in order], np.int64)
+    joined = np.frombuffer(b"".join(data[i] for i in order), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    live, at = len(data), 0
+    while True:
+        while live and sizes[live - 1] <= at:
+            live -= 1
+        if live < TOGETHER:
+            break
+        h[:live] = (h[:live] ^ joined[starts[:live] + at]) * np.uint32(16777619)
+        at += 1
+    for k in range(live):
+        value = int(h[k])
+        for byte in data[order[k]][at:]:
+            value = ((value ^ byte) * 16777619) & 0xFFFFFFFF
+        h[k] = value
+    out = np.empty(len(data), np.int64)
+    out[order] = h.astype(np.int64) | sizes << 32
+    return out
+
+
 def exploded(texts: DataFrame, keys: list[str], text: str, arrays, columns: list[tuple[str, str]]) -> DataFrame:
     """One row for each element that ``arrays(text)`` makes, with the row's keys (longs).
 

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from stemma.functions.hashing import STRONG, blank_windows, code_points, exploded, polynomials, theme_id
+from stemma.functions.hashing import STRONG, blank_windows, code_points, exploded, polynomials
+from stemma.functions.hashing import theme_ids as all_theme_ids
 from stemma.functions.text import normalise
 from stemma.plans.config import EngineConfig
+from stemma.shared import materialise
 
 #: Window hashes of the left side that are sent to all executors at most (eight bytes each).
-SENT_HASHES = 2_000_000
+SENT_HASHES = 1_000_000
+#: Common places of a pair of texts that are looked at together.
+PLACES = 1 << 21
 
 
 def _windows(normal: DataFrame, key: str, config: EngineConfig, only: np.ndarray | None = None, broadcast=None) -> DataFrame:
@@ -38,24 +43,21 @@ def _windows(normal: DataFrame, key: str, config: EngineConfig, only: np.ndarray
     return exploded(normal, [key], "normal", arrays, [("pos", "int"), ("hash", "long"), ("check", "long")])
 
 
-def common_windows(left: DataFrame, right: DataFrame, config: EngineConfig, pairs: DataFrame | None = None) -> DataFrame:
-    """Positions (left_id, right_id, l, r) of windows that two texts share.
+def common_windows(left: DataFrame, right: DataFrame, config: EngineConfig) -> DataFrame:
+    """Positions (left_id, right_id, l, r) of windows that two texts share, of all pairs of texts.
 
     Both sides have id and normal. If the left side's windows are few, their hashes
     go to all executors and thin out the right side where it is made; else both are
-    shuffled by hash. ``pairs`` (left_id, right_id) restricts the result.
+    shuffled by hash.
     """
     spark = left.sparkSession
-    ours = _windows(left, "id", config)
-    hashes = ours.select("hash").distinct().limit(SENT_HASHES + 1).toPandas()["hash"].to_numpy(np.int64)
-    if not len(hashes):
-        hashes = np.array([0], np.int64)
+    ours = materialise(_windows(left, "id", config), "left-windows")
+    hashes = np.array([r[0] for r in ours.select("hash").distinct().limit(SENT_HASHES + 1).toLocalIterator()] or [0], np.int64)
     sent = spark.sparkContext.broadcast(np.sort(hashes)) if len(hashes) <= SENT_HASHES else None
     theirs = _windows(right, "id", config, broadcast=sent)
     a = ours.select(F.col("id").alias("left_id"), F.col("pos").alias("l"), "hash", "check")
     b = theirs.select(F.col("id").alias("right_id"), F.col("pos").alias("r"), "hash", "check")
-    found = a.join(b, ["hash", "check"]).select("left_id", "right_id", "l", "r")
-    return found if pairs is None else found.join(pairs, ["left_id", "right_id"], "left_semi")
+    return a.join(b, ["hash", "check"]).select("left_id", "right_id", "l", "r")
 
 
 def shared_windows(left: DataFrame, right: DataFrame, config: EngineConfig) -> DataFrame:
@@ -82,7 +84,8 @@ def runs(found: DataFrame, config: EngineConfig) -> DataFrame:
 
 @F.pandas_udf(LongType())
 def theme_ids(text: pd.Series) -> pd.Series:
-    return text.map(theme_id)
+    codes, different = pd.factorize(text)
+    return pd.Series(all_theme_ids(list(different))[codes])
 
 
 def fragments(found: DataFrame, left: DataFrame, config: EngineConfig) -> DataFrame:
@@ -100,12 +103,108 @@ def prepared(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(F.col(key).cast("long").alias("id"), normalise(F.col("text")).alias("normal"))
 
 
+def text_windows(text: str, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every window of a text, and which windows are not blank."""
+    points = code_points(text)
+    if len(points) <= size:
+        none = np.empty(0, np.uint64)
+        return none, none, none.astype(bool)
+    return polynomials(points, size, STRONG[0]), polynomials(points, size, STRONG[1]), ~blank_windows(points, size)
+
+
+def pair_runs(left: str, right: str, size: int, places: int = 0) -> list[tuple[int, int, int]]:
+    """Maximal diagonal runs (left, right, length) of windows that two texts share.
+
+    The right text is gone through in stretches with some ``places`` common places
+    each, so texts that repeat themselves do not multiply in memory; a run that
+    reaches the end of a stretch goes on in the next.
+    """
+    first, second, keep = text_windows(left, size)
+    at = np.flatnonzero(keep)
+    order = np.argsort(first[at], kind="stable")
+    at = at[order]
+    first, second = first[at], second[at]
+    theirs, check, _ = text_windows(right, size)
+    low = np.searchsorted(first, theirs, "left")
+    count = np.searchsorted(first, theirs, "right") - low
+    stretch = np.cumsum(count) // (places or PLACES)
+    cuts = [0, *(np.flatnonzero(np.diff(stretch)) + 1).tolist(), len(theirs)]
+    open_diagonals, open_starts = np.empty(0, np.int64), np.empty(0, np.int64)
+    out: list[tuple[int, int, int]] = []
+
+    def emit(diagonal, start, end):
+        out.extend(zip(start.tolist(), (start - diagonal).tolist(), (end - start + size).tolist()))
+
+    last = 0
+    for a, b in zip(cuts, cuts[1:]):
+        some = count[a:b]
+        r = np.repeat(np.arange(a, b), some)
+        k = np.repeat(low[a:b], some) + np.arange(len(r)) - np.repeat(np.cumsum(some) - some, some)
+        same = second[k] == check[r]
+        r, l = r[same], at[k[same]]
+        diagonal = l - r
+        order = np.lexsort((l, diagonal))
+        l, diagonal = l[order], diagonal[order]
+        begin = np.ones(len(l), bool)
+        begin[1:] = (diagonal[1:] != diagonal[:-1]) | (l[1:] != l[:-1] + 1)
+        starts = np.flatnonzero(begin)
+        ends = np.concatenate((starts[1:], [len(l)])) - 1 if len(starts) else starts
+        own, start, end = diagonal[starts], l[starts], l[ends]
+        # Runs that begin with the stretch may continue those that ended with the one before.
+        place = np.searchsorted(open_diagonals, own)
+        place[place == len(open_diagonals)] = 0
+        on = (start - own == a) & (len(open_diagonals) > 0)
+        if on.any():
+            on &= open_diagonals[place] == own
+        start[on] = open_starts[place[on]]
+        ended = np.ones(len(open_diagonals), bool)
+        ended[place[on]] = False
+        emit(open_diagonals[ended], open_starts[ended], open_diagonals[ended] + last)
+        reach = end - own == b - 1
+        emit(own[~reach], start[~reach], end[~reach])
+        open_diagonals, open_starts, last = own[reach], start[reach], b - 1
+    emit(open_diagonals, open_starts, open_diagonals + last)
+    return out
+
+
+def pair_fragments(pairs: DataFrame, left: DataFrame, right: DataFrame, config: EngineConfig) -> DataFrame:
+    """Fragments of the wanted ``pairs`` (left_id, right_id), found pair by pair from both texts.
+
+    Work and shuffle follow the wanted pairs: a passage that many texts share makes
+    no places for pairs that nobody asked for. Columns as of ``fragments``.
+    """
+    size, window = config.window - config.slack, config.window
+    schema = pa.schema([("left_id", pa.int64()), ("right_id", pa.int64()), ("left", pa.int32()), ("right", pa.int32()), ("length", pa.int32()), ("theme_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part, made = batch.slice(begin, 256), []
+                for i, j, ours, theirs in zip(*(c.to_pylist() for c in part.columns)):
+                    for l, r, n in pair_runs(ours, theirs, size):
+                        raw = ours[l : l + n]
+                        text = raw.strip(" ")
+                        if n >= window and len(text) >= window:
+                            lead = n - len(raw.lstrip(" "))
+                            made.append((i, j, l + lead, r + lead, len(text), text))
+                if made:
+                    columns = list(zip(*made))
+                    themes = {t: int(k) for t, k in zip(d, all_theme_ids(d))} if (d := list(set(columns[5]))) else {}
+                    columns.insert(5, [themes[t] for t in columns[5]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    wanted = pairs.select("left_id", "right_id").distinct()
+    joined = wanted.join(left.select(F.col("id").alias("left_id"), F.col("normal").alias("ours")), "left_id").join(right.select(F.col("id").alias("right_id"), F.col("normal").alias("theirs")), "right_id")
+    return joined.select("left_id", "right_id", "ours", "theirs").mapInArrow(run, "left_id long, right_id long, left int, right int, length int, theme_id long, text string")
+
+
 def associate(left: DataFrame, right: DataFrame, config: EngineConfig, pairs: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
-    """Fragments of all pairs of a left and a right text (both with id and normal) that have any."""
-    found = common_windows(left, right, config, pairs)
-    if exclude_self:
-        found = found.where(F.col("left_id") != F.col("right_id"))
-    return fragments(found, left, config)
+    """Fragments of all pairs of a left and a right text (both with id and normal) that have any, or of the wanted ``pairs``."""
+    different = F.col("left_id") != F.col("right_id")
+    if pairs is not None:
+        return pair_fragments(pairs.where(different) if exclude_self else pairs, left, right, config)
+    found = common_windows(left, right, config)
+    return fragments(found.where(different) if exclude_self else found, left, config)
 
 
 def associations(found: DataFrame) -> DataFrame:

@@ -63,6 +63,40 @@ def test_fragments_against_plain(spark):
     for a in upper:
         for b in upper:
             assert sorted(got.get((a, b), [])) == plain_runs(upper[a], upper[b], 5, 8), (a, b)
+    pairs = spark.createDataFrame([(a, b) for a in upper for b in upper if (a + b) % 3], "left_id long, right_id long")
+    wanted = {}
+    for r in A.associate(left, left, SMALL, pairs).collect():
+        wanted.setdefault((r["left_id"], r["right_id"]), []).append((r["left"], r["right"], r["length"], r["text"]))
+    assert {k: sorted(v) for k, v in wanted.items()} == {k: sorted(v) for k, v in got.items() if sum(k) % 3}
+    for places in (1, 2, 7, 50):  # however the right text is cut
+        for a, b in ((17, 17), (15, 17), (3, 4), (15, 15)):
+            assert sorted(A.pair_runs(upper[a], upper[b], 5, places)) == sorted(A.pair_runs(upper[a], upper[b], 5))
+
+
+def test_boilerplate_makes_no_unwanted_places(spark, monkeypatch):
+    """Only wanted pairs are compared, however many texts share a passage."""
+    line = "this line stands in every document"
+    side = A.prepared(spark.createDataFrame([(i, f"{line} and this in number {i} {'xyz' * (i % 5)}") for i in range(1000)], "id long, text string"), "id")
+    wanted = [(i, (7 * i + 1) % 1000) for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+    plain = A.pair_runs
+
+    def counted(*args):
+        seen.add(1)
+        return plain(*args)
+
+    monkeypatch.setattr(A, "pair_runs", counted)
+    rows = A.associate(side, side, SMALL, spark.createDataFrame(wanted * 2, "left_id long, right_id long")).select("left_id", "right_id").distinct().collect()
+    assert sorted(map(tuple, rows)) == sorted(wanted) and seen.value == len(wanted)
+
+
+def test_theme_ids():
+    from stemma.functions.hashing import theme_id, theme_ids
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aé漢 ") for _ in range(rng.choice([0, 1, 5, 40, 3000]))) for _ in range(150)]
+    assert theme_ids(texts).tolist() == [theme_id(t) for t in texts]
+    assert theme_ids([]).tolist() == [] and theme_ids(["x" * 999]).tolist() == [theme_id("x" * 999)]
 
 
 def test_symmetry_and_listing(spark):

@@ -11,10 +11,10 @@ KEY = ["doctype", "docid"]
 COLUMNS = [*KEY, "title", "text", "characters", "valid", "meta"]
 
 
-def build_documents(rows: DataFrame, doctype: Column, docid: Column, title: Column, text: Column, meta: dict[str, Column] | None = None) -> DataFrame:
+def build_documents(rows: DataFrame, doctype: Column, docid: Column, title: Column, text: Column, meta: dict[str, Column] | None = None, own: Column | None = None) -> DataFrame:
     """Documents from any rows. Ids must be 1 or more, title and text not empty; other rows are left out.
 
-    ``meta`` becomes a map of lists of strings; ``characters`` and ``valid`` follow from the text.
+    ``meta`` becomes a map of lists of strings, unless ``own`` is such a map; ``characters`` and ``valid`` follow from the text.
     """
     entries = [x for k, v in (meta or {}).items() for x in (F.lit(k), F.array(v.cast("string")))]
     made = rows.select(
@@ -24,7 +24,7 @@ def build_documents(rows: DataFrame, doctype: Column, docid: Column, title: Colu
         text.alias("text"),
         F.length(text).cast("long").alias("characters"),
         F.is_valid_utf8(text).alias("valid"),
-        (F.create_map(*entries) if entries else F.create_map()).cast("map<string,array<string>>").alias("meta"),
+        (own if own is not None else F.create_map(*entries)).cast("map<string,array<string>>").alias("meta"),
     )
     return made.where((F.col("doctype") >= 1) & (F.col("docid") >= 1) & (F.length("title") > 0) & (F.length("text") > 0))
 

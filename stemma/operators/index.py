@@ -11,6 +11,7 @@ from stemma.functions.hashing import exploded, window_hashes
 from stemma.functions.text import normalise
 from stemma.operators.documents import KEY
 from stemma.plans.config import EngineConfig
+from stemma.shared import materialise
 
 
 def shingles(texts: DataFrame, keys: list[str], config: EngineConfig) -> DataFrame:
@@ -59,28 +60,42 @@ def posting_lines(postings: DataFrame) -> DataFrame:
     return lines.select("hash", "bytes", "doctypes")
 
 
-def lowest_hashes(postings: DataFrame, start: int, limit: int) -> DataFrame:
-    """The ``limit`` lowest different hashes from ``start`` on; a task hands on no more than these."""
+def line_stats(postings: DataFrame, config: EngineConfig, full: int = 255) -> DataFrame:
+    """By shard: lines, their bytes and postings, and how many lines and postings a store of lines of under ``full`` bytes could not hold."""
+    lines = posting_lines(postings)
+    held = F.aggregate("doctypes", F.lit(0), lambda acc, t: acc + F.size(t["docids"])).cast("long")
+    over = F.col("bytes") >= full
+    made = lines.select(shard(config).alias("shard"), "bytes", held.alias("n")).groupBy("shard").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"), F.sum("n").alias("postings"),
+        F.count_if(over).alias("saturated"), F.coalesce(F.sum(F.when(over, F.col("n"))), F.lit(0)).alias("ignored"),
+    )
+    return made.withColumn("ignored_percent", F.round(100 * F.col("ignored") / F.col("postings"), 6))
+
+
+def lowest_postings(postings: DataFrame, start: int, limit: int) -> DataFrame:
+    """Each task's postings of its ``limit`` lowest different hashes from ``start`` on, read once."""
 
     def run(batches):
-        held = np.empty(0, np.int64)
+        held = np.empty((3, 0), np.int64)
         for batch in batches:
-            held = np.unique(np.concatenate((held, batch.column(0).to_numpy())))[:limit]
-        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["hash"])
+            held = np.concatenate((held, np.stack([c.to_numpy() for c in batch.columns])), axis=1)
+            lowest = np.unique(held[0])[:limit]
+            held = held[:, held[0] <= lowest[-1]] if len(lowest) else held[:, :0]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["hash", *KEY])
 
-    own = postings.where(F.col("hash") >= start).select("hash").mapInArrow(run, "hash long")
-    return own.distinct().orderBy("hash").limit(limit)
+    return postings.where(F.col("hash") >= start).select("hash", *KEY).mapInArrow(run, "hash long, doctype long, docid long")
 
 
 def list_index(postings: DataFrame, start: int = 0, limit: int = 100) -> DataFrame:
-    """Lines of the ``limit`` lowest hashes from ``start`` on. The hashes are chosen before lines are built."""
-    chosen = F.broadcast(lowest_hashes(postings, start, limit))
-    return posting_lines(postings.where(F.col("hash") >= start).join(chosen, "hash", "left_semi")).orderBy("hash")
+    """Lines of the ``limit`` lowest hashes from ``start`` on; lines of other hashes are never built."""
+    own = materialise(lowest_postings(postings, start, limit), "lowest-postings")
+    chosen = F.broadcast(own.select("hash").distinct().orderBy("hash").limit(limit))
+    return posting_lines(own.join(chosen, "hash", "left_semi")).orderBy("hash")
 
 
-#: Hashes of one bitmap, and the widest hash whose bitmaps a task keeps (32 MB).
+#: Hashes of one bitmap, and the widest hash that a task keeps a flag of one byte for (32 MB).
 BITMAP = 1 << 15
-BITMAP_WIDTH = 28
+BITMAP_WIDTH = 25
 
 
 def index_stats(documents: DataFrame, config: EngineConfig) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 COMMANDS = ("Add Document", "Delete Document", "Associate Document", "Test Corpus")
 QUEUED, STARTED, COMPLETED, FAILED = "Queued", "Started", "Completed", "Failed"
+STATUSES = "id long, nth long, status string, error string"
 SCHEMA = "id long, command string, source_doctype long, source_docid long, source_range string, target_range string, status string, error string, payload binary"
 
 
@@ -25,11 +26,31 @@ def unpack(payload: bytes | None) -> dict[str, list[str]]:
     return parse_qs(gzip.decompress(bytes(payload)).decode(), keep_blank_values=True) if payload else {}
 
 
-def enqueue(queue: DataFrame, items: DataFrame) -> DataFrame:
-    """Append items (columns of the table without id and status, in order of ``nth``) as queued jobs."""
+def numbered(queue: DataFrame, items: DataFrame) -> DataFrame:
+    """Items (columns of the table without id and status, in order of ``nth``) as queued jobs with the next ids."""
     last = queue.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    numbered = items.withColumn("id", F.row_number().over(Window.orderBy("nth")) + F.lit(last).cast("long")).drop("nth")
-    return queue.unionByName(numbered.withColumns({"status": F.lit(QUEUED), "error": F.lit(None).cast("string")}))
+    rows = items.withColumn("id", F.row_number().over(Window.orderBy("nth")) + F.lit(last).cast("long")).drop("nth")
+    return rows.withColumns({"status": F.lit(QUEUED), "error": F.lit(None).cast("string")}).select(*queue.columns)
+
+
+def enqueue(queue: DataFrame, items: DataFrame) -> DataFrame:
+    """The queue with new items at its end."""
+    return queue.unionByName(numbered(queue, items))
+
+
+def marks(statuses: DataFrame, results: dict[int, tuple[str, str | None]]) -> DataFrame:
+    """Rows that move each job on to its own status and error."""
+    last = statuses.agg(F.coalesce(F.max("nth"), F.lit(0))).first()[0]
+    return statuses.sparkSession.createDataFrame([(i, last + 1, status, error) for i, (status, error) in results.items()], STATUSES)
+
+
+def current(queue: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The queue with the last status of every job; a job that is completed shows no payload."""
+    last = statuses.groupBy("id").agg(F.max_by(F.struct("status", "error"), "nth").alias("__last"))
+    now = queue.join(last, "id", "left")
+    moved = F.col("__last").isNotNull()
+    now = now.withColumn("status", F.coalesce("__last.status", "status")).withColumn("error", F.when(moved, F.col("__last.error")).otherwise(F.col("error")))
+    return now.withColumn("payload", F.when(F.col("status") != COMPLETED, F.col("payload"))).select(*queue.columns)
 
 
 def listing(queue: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ the id is doc_id plus one. Texts to search for come from ``benchmark``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -21,6 +22,7 @@ from stemma.operators.render import fragment_json
 from stemma.plans import jobs
 from stemma.plans.config import EngineConfig
 from stemma.shared import materialise, shared_root, spread
+from stemma.sources.files import read_files
 from stemma.sources.synthetic import synthetic_documents
 from stemma.streaming import feeds
 
@@ -53,7 +55,7 @@ def window_hashes_bench(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page, total = docs.list_documents(collection(spark, sf_dir), "1-3:7:12-10", ["-characters", "title"], 5, 40)
+    page, total = docs.list_documents(collection(spark, sf_dir), TARGET, ["-characters", "title"], 5, 40)
     return page.select(*docs.KEY, "title", "characters", F.element_at("meta", "lang")[0].alias("lang"), F.lit(total).cast("long").alias("total"))
 
 
@@ -78,6 +80,11 @@ def list_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("hash", "bytes", F.array_join(text, " ").alias("line"))
 
 
+def index_line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, bytes and saturation of the index by shard."""
+    return idx.line_stats(idx.build_index(collection(spark, sf_dir), CONFIG), CONFIG)
+
+
 def index_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings by type once the toxic documents are deleted."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select((F.col("doc_id") + 1).alias("docid"))
@@ -96,17 +103,35 @@ def search_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tallies(spark, sf_dir, CONFIG).where(F.col("count") >= CONFIG.min_hits)
 
 
-def _topk(spark: SparkSession, sf_dir: str, config: EngineConfig) -> DataFrame:
-    found = srch.search(benchmark(spark, sf_dir), idx.build_index(collection(spark, sf_dir), config), config)
-    return found.select("query_id", *docs.KEY, "count", "sum_deltas", "sum_square_deltas", F.round("mean", 6).alias("mean"), F.round("score", 9).alias("score"))
+def _ranked(queries: DataFrame, postings: DataFrame, config: EngineConfig, target: str | None = None, exclude_self: bool = False) -> DataFrame:
+    found = srch.search(queries, postings, config, target, exclude_self)
+    return found.select("query_id", *docs.KEY, "count", "sum_deltas", "sum_square_deltas", F.round("mean", 6).alias("mean"), F.round("score", 9).alias("score"), "rank")
 
 
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _topk(spark, sf_dir, replace(CONFIG, limit=None))
+    """The ten best documents for each benchmark text, with their ranks."""
+    return _ranked(benchmark(spark, sf_dir), idx.build_index(collection(spark, sf_dir), CONFIG), CONFIG)
+
+
+def search_all_one_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match, ranked, where tallies are not cut by shard."""
+    config = replace(CONFIG, shards=1, limit=None)
+    return _ranked(benchmark(spark, sf_dir), idx.build_index(collection(spark, sf_dir), config), config)
+
 
+TARGET = "1-3:7:12-10"
 
-def search_topk_one_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _topk(spark, sf_dir, replace(CONFIG, shards=1, limit=None))
+
+def search_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of a range of types."""
+    return _ranked(benchmark(spark, sf_dir), idx.build_index(collection(spark, sf_dir), CONFIG), CONFIG, TARGET)
+
+
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of the stored documents whose id is divisible by 50, against all others of a range of types."""
+    known = materialise(collection(spark, sf_dir), "collection")
+    own = known.where(F.col("docid") % 50 == 0).select(F.col("docid").alias("query_id"), "text", F.col("doctype").alias("own_doctype"), F.col("docid").alias("own_docid"))
+    return _ranked(own, idx.build_index(known, CONFIG), replace(CONFIG, limit=None), TARGET, exclude_self=True)
 
 
 def _fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,16 +166,33 @@ def fragments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bulk_associate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of different documents that a search ranks, without a limit, with their fragments: one set-oriented plan."""
-    known = materialise(collection(spark, sf_dir), "collection")
+    """All pairs of different texts that a search ranks, without a limit, with their fragments: one set-oriented plan.
+
+    Equal texts are one class, named by its smallest docid. Every document has a row
+    with its class and no partner; the pairs are those between the classes' first
+    documents. So copies cost nothing, and no link between different texts is lost.
+    """
+    known = materialise(collection(spark, sf_dir).withColumn("digest", F.sha2("text", 256)), "collection")
+    first = known.groupBy("digest").agg(F.min("docid").alias("class_id"))
+    members = materialise(known.select("docid", "digest").join(first, "digest").select("docid", "class_id"), "text-classes")
+    chosen = materialise(known.join(members.where("docid = class_id").select("docid"), "docid", "left_semi"), "class-texts")
     config = replace(CONFIG, limit=None)
-    queries = known.select(F.col("docid").alias("query_id"), "text", F.col("doctype").alias("own_doctype"), F.col("docid").alias("own_docid"))
-    ranked = srch.search(queries, idx.build_index(known, config), config, exclude_self=True)
+    queries = chosen.select(F.col("docid").alias("query_id"), "text", F.col("doctype").alias("own_doctype"), F.col("docid").alias("own_docid"))
+    ranked = srch.search(queries, idx.build_index(chosen, config), config, exclude_self=True)
     wanted = materialise(ranked.select(F.col("query_id").alias("left_id"), F.col("docid").alias("right_id")), "ranked")
-    left = pairs.prepared(known.join(wanted.select(F.col("left_id").alias("docid")).distinct(), "docid", "left_semi"), "docid")
-    right = pairs.prepared(known.join(wanted.select(F.col("right_id").alias("docid")).distinct(), "docid", "left_semi"), "docid")
-    found = pairs.associations(pairs.associate(left, right, config, wanted))
-    return found.select(F.col("left_id").alias("docid"), F.col("right_id").alias("other_docid"), "fragment_count", F.get("fragments", F.lit(0))["length"].alias("longest"))
+    side = materialise(pairs.prepared(chosen, "docid"), "normal-texts")
+    found = pairs.associations(pairs.associate(side, side, config, wanted))
+    found = found.select(F.col("left_id").alias("docid"), F.col("left_id").alias("class_id"), F.col("right_id").alias("other_docid"), "fragment_count", F.get("fragments", F.lit(0))["length"].alias("longest"))
+    alone = members.select("docid", "class_id", F.lit(None).cast("long").alias("other_docid"), F.lit(None).cast("int").alias("fragment_count"), F.lit(None).cast("int").alias("longest"))
+    return alone.unionByName(found)
+
+
+def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts from gzipped files in nested folders, as they are read back."""
+    root = f"{shared_root(spark)}/stemma/{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("value")).write.partitionBy("item_id").option("compression", "gzip").text(root)
+    read = read_files(spark, root).where(F.col("name").endswith(".txt"))
+    return read.select(F.regexp_extract("folder", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.regexp_replace("text", r"\n\z", "").alias("text"), F.col("error").isNull().alias("whole"))
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,8 +213,6 @@ def queue_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a feed: written as files, read by a stream, kept as documents."""
-    import uuid
-
     root = f"{shared_root(spark)}/stemma/{spark.sparkContext.applicationId}/feed-{uuid.uuid4().hex}"
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     data = F.to_json(F.struct(F.col("event_type").alias("title"), F.concat(F.lit("value "), F.col("event_id")).alias("text"), F.col("user_id").cast("string").alias("user")))
@@ -189,9 +229,9 @@ def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        normalise_docs, pretty_docs, window_hashes_bench, list_documents, docids_in_range, upsert_documents, index_stats, list_index, index_after_delete,
-        search_tally, search_topk, search_topk_one_shard, bench_fragments, fragment_summary, fragments_json, shared_places, themes_distinct, bulk_associate, queue_stats, queue_batch,
-        feed_ingest, synthetic_corpus,
+        normalise_docs, pretty_docs, window_hashes_bench, list_documents, docids_in_range, upsert_documents, index_stats, index_line_stats, list_index, index_after_delete,
+        search_tally, search_topk, search_all_one_shard, search_target, search_stored, bench_fragments, fragment_summary, fragments_json, shared_places, themes_distinct, bulk_associate, queue_stats, queue_batch,
+        feed_ingest, file_texts, synthetic_corpus,
     )
 }
 
@@ -233,11 +273,14 @@ _BENCH = "bench AS (SELECT item_id AS query_id, text FROM benchmark)"
 _POSTINGS = f"{_COLLECTION}, {_hashes('win', 'coll', 'doctype, docid')}, postings AS (SELECT DISTINCT hash, doctype, docid FROM win)"
 
 
-def _parts(shards: int) -> str:
+_IN_TARGET = "(doctype BETWEEN 1 AND 3 OR doctype = 7 OR doctype BETWEEN 10 AND 12)"
+
+
+def _parts(shards: int, queries: str = f"{_POSTINGS}, {_BENCH}", where: str = "true") -> str:
     size = (1 << CONFIG.hash_width) // shards
     return f"""
-WITH {_POSTINGS}, {_BENCH}, {_hashes('probe', 'bench', 'query_id')}, hit AS (
-  SELECT query_id, hash // {size} AS shard, doctype, docid, pos::BIGINT AS pos FROM probe JOIN postings USING (hash)
+WITH {queries}, {_hashes('probe', 'bench', 'query_id')}, hit AS (
+  SELECT query_id, hash // {size} AS shard, doctype, docid, pos::BIGINT AS pos FROM probe JOIN postings USING (hash) WHERE {where}
 ), step AS (
   SELECT *, coalesce(pos - lag(pos) OVER (PARTITION BY query_id, shard, doctype, docid ORDER BY pos), 0) AS d FROM hit
 ), part AS (
@@ -246,14 +289,20 @@ WITH {_POSTINGS}, {_BENCH}, {_hashes('probe', 'bench', 'query_id')}, hit AS (
 )"""
 
 
-def _scored(shards: int) -> str:
-    return f"""{_parts(shards)}, merged AS (
+def _merged(shards: int, **options: str) -> str:
+    return f"""{_parts(shards, **options)}, merged AS (
   SELECT query_id, doctype, docid, sum(count)::BIGINT AS count, sum(sum_deltas)::BIGINT AS sum_deltas, sum(sum_square_deltas)::BIGINT AS sum_square_deltas
   FROM part WHERE sum_deltas > 0 GROUP BY ALL
+)"""
+
+
+def _scored(shards: int, limit: int | None, **options: str) -> str:
+    top = "" if limit is None else f"WHERE rank <= {limit}"
+    return f"""{_merged(shards, **options)}, ranked AS (
+  SELECT *, sum_deltas / count::DOUBLE AS m, sqrt(greatest(sum_square_deltas / count::DOUBLE - m * m, 0)) / count AS s,
+         row_number() OVER (PARTITION BY query_id ORDER BY s, doctype, docid)::INTEGER AS rank FROM merged
 )
-SELECT *, round(sum_deltas / count::DOUBLE, 6) AS mean,
-       round(sqrt(greatest(sum_square_deltas / count::DOUBLE - (sum_deltas / count::DOUBLE) * (sum_deltas / count::DOUBLE), 0)) / count, 9) AS score
-FROM merged"""
+SELECT query_id, doctype, docid, count, sum_deltas, sum_square_deltas, round(m, 6) AS mean, round(s, 9) AS score, rank FROM ranked {top}"""
 
 
 _SIZE = CONFIG.window - CONFIG.slack
@@ -275,6 +324,21 @@ frag AS (
   FROM cut WHERE length(trim(raw)) >= {CONFIG.window}
 )"""
 
+_CLASSES = f"""{_COLLECTION.replace('coll AS', 'every AS', 1)}, classed AS (SELECT *, min(docid) OVER (PARTITION BY text) AS class_id FROM every),
+coll AS (SELECT * FROM classed WHERE docid = class_id)"""
+_BULK = f"""{_merged(CONFIG.shards, queries=_POSTINGS.replace(_COLLECTION, _CLASSES) + ', bench AS (SELECT docid AS query_id, text FROM coll)', where='docid <> query_id')},
+norm AS (SELECT docid, {_normal('text')} AS n FROM coll),
+w AS (SELECT docid, p, hash(substr(n, p + 1, {_SIZE})) AS g, trim(substr(n, p + 1, {_SIZE})) <> '' AS ink
+      FROM norm, LATERAL (SELECT unnest(range(length(n) - {_SIZE} + 1)) AS p) WHERE length(n) > {_SIZE}),
+ours AS (SELECT m.query_id AS a, m.docid AS b, w.p AS l, w.g FROM merged m JOIN w ON w.docid = m.query_id WHERE w.ink),
+pair AS (SELECT ours.a, ours.b, ours.l, w.p AS r FROM ours JOIN w ON w.docid = ours.b AND w.g = ours.g),
+isle AS (SELECT *, l - row_number() OVER (PARTITION BY a, b, l - r ORDER BY l) AS i FROM pair),
+run AS (SELECT a, b, min(l) AS l, count(*) - 1 + {_SIZE} AS len FROM isle GROUP BY a, b, l - r, i HAVING count(*) - 1 + {_SIZE} >= {CONFIG.window}),
+frag AS (SELECT a, b, length(trim(substr(n, (l + 1)::BIGINT, len::BIGINT))) AS length FROM run JOIN norm ON docid = a)
+SELECT docid, class_id, NULL::BIGINT AS other_docid, NULL::INTEGER AS fragment_count, NULL::INTEGER AS longest FROM classed
+UNION ALL
+SELECT a, a, b, count(*)::INTEGER, max(length)::INTEGER FROM frag WHERE length >= {CONFIG.window} GROUP BY a, b"""
+
 _VARINT = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END"
 _QUEUE = f"""
 q AS (
@@ -296,6 +360,12 @@ ORACLES: dict[str, str] = {
     "index_stats": f"""WITH {_POSTINGS}, a AS (SELECT hash // {CONFIG.shard_size} AS shard, count(*) AS windows, count(DISTINCT hash) AS hashes FROM win GROUP BY ALL),
         b AS (SELECT hash // {CONFIG.shard_size} AS shard, count(*) AS postings FROM postings GROUP BY ALL)
         SELECT shard, windows, postings, windows - postings AS repeats, hashes FROM a JOIN b USING (shard)""",
+    "index_line_stats": f"""WITH {_POSTINGS}, p AS (SELECT *, docid - lag(docid, 1, 0) OVER (PARTITION BY hash, doctype ORDER BY docid) AS delta FROM postings),
+        t AS (SELECT hash, doctype, count(*) AS n, sum({_VARINT.format('delta')}) AS len FROM p GROUP BY ALL),
+        y AS (SELECT hash, sum(n) AS n, 1 + sum({_VARINT.format('doctype')} + {_VARINT.format('len')} + len) AS bytes FROM t GROUP BY hash)
+        SELECT hash // {CONFIG.shard_size} AS shard, count(*) AS lines, sum(bytes)::BIGINT AS bytes, sum(n)::BIGINT AS postings, count(*) FILTER (WHERE bytes >= 255) AS saturated,
+               coalesce(sum(n) FILTER (WHERE bytes >= 255), 0)::BIGINT AS ignored, round(100 * coalesce(sum(n) FILTER (WHERE bytes >= 255), 0) / sum(n)::DOUBLE, 6) AS ignored_percent
+        FROM y GROUP BY ALL""",
     "list_index": f"""WITH {_POSTINGS}, pick AS (SELECT DISTINCT hash FROM postings WHERE hash >= 1000 ORDER BY hash LIMIT 100),
         p AS (SELECT *, docid - lag(docid, 1, 0) OVER (PARTITION BY hash, doctype ORDER BY docid) AS delta FROM postings JOIN pick USING (hash)),
         t AS (SELECT hash, doctype, string_agg(docid::VARCHAR, ',' ORDER BY docid) || '/' || string_agg(delta::VARCHAR, ',' ORDER BY docid) AS part,
@@ -305,8 +375,15 @@ ORACLES: dict[str, str] = {
     "index_after_delete": f"""WITH {_POSTINGS} SELECT doctype, count(*) AS postings, count(DISTINCT docid) AS documents FROM postings
         WHERE docid - 1 NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) GROUP BY doctype""",
     "search_tally": f"{_parts(CONFIG.shards)} SELECT * FROM part",
-    "search_topk": _scored(CONFIG.shards),
-    "search_topk_one_shard": _scored(1),
+    "search_topk": _scored(CONFIG.shards, CONFIG.limit),
+    "search_all_one_shard": _scored(1, None),
+    "search_target": _scored(CONFIG.shards, CONFIG.limit, where=_IN_TARGET),
+    "search_stored": _scored(
+        CONFIG.shards, None, where=f"{_IN_TARGET} AND docid <> query_id",
+        queries=f"{_POSTINGS}, bench AS (SELECT docid AS query_id, text FROM coll WHERE docid % 50 = 0)",
+    ),
+    "bulk_associate": _BULK,
+    "file_texts": "SELECT item_id, text, true AS whole FROM benchmark",
     "bench_fragments": f"{_FRAGMENTS} SELECT * FROM frag",
     "fragment_summary": f"{_FRAGMENTS} SELECT item_id, doc_id, count(*)::INTEGER AS fragment_count, max(length) AS longest FROM frag GROUP BY ALL",
     "themes_distinct": f"""{_FRAGMENTS}, t AS (SELECT DISTINCT text, hex(encode(text)) AS hx FROM frag)

@@ -16,7 +16,7 @@ from stemma.operators import index as I
 from stemma.operators import search as S
 from stemma.plans import jobs
 from stemma.plans.config import EngineConfig
-from stemma.sources.files import file_documents, members, text_document
+from stemma.sources.files import file_documents, members, read_files, text_document
 from stemma.sources.synthetic import synthetic_documents
 from stemma.streaming import feeds
 
@@ -241,6 +241,12 @@ def test_files(spark, tmp_path):
     assert {r["doctype"] for r in got} <= {3, 4, 5, 6} and len({(r["doctype"], r["docid"]) for r in got}) == 4
     assert text_document(spark, "typed").first()["text"] == "typed"
     assert list(members("/x/.dot", b"a")) == []
+    errors = {r["name"]: (r["text"], r["error"]) for r in read_files(spark, str(tmp_path)).where("error is not null").collect()}
+    assert set(errors) == {"broken.zip"} and errors["broken.zip"][0] is None and "zip" in errors["broken.zip"][1].lower()
+    with open(tmp_path / "sub" / "c.tar.gz", "rb") as file:
+        whole = gzip.decompress(file.read())
+    found = list(members("/x/cut.tar", whole[:1500]))
+    assert found[0][:2] == ("/x/cut.tar/one.txt", b"one") and found[-1][1] is None and found[-1][2]
 
 
 def test_jobs(spark):
@@ -251,7 +257,11 @@ def test_jobs(spark):
     assert [r["id"] for r in jobs.listing(queue).collect()] == [1, 2, 3, 4]
     assert [r["id"] for r in jobs.next_batch(queue).collect()] == [1, 2]
     assert jobs.unpack(queue.where("id = 2").first()["payload"]) == {"title": ["t"], "text": ["x 1"]}
-    done = jobs.set_status(queue, [1, 2], jobs.COMPLETED)
+    assert jobs.marks(spark.createDataFrame([], jobs.STATUSES), {1: (jobs.STARTED, None)}).first()["nth"] == 1
+    started = jobs.marks(spark.createDataFrame([], jobs.STATUSES), {1: (jobs.STARTED, None), 2: (jobs.STARTED, None)})
+    ended = started.unionByName(jobs.marks(started, {1: (jobs.COMPLETED, None), 2: (jobs.COMPLETED, None)}))
+    assert jobs.current(queue, started).where("id = 1").first()["payload"] is not None
+    done = jobs.current(queue, ended)
     assert {r["status"]: r["count"] for r in jobs.stats(done).collect()} == {"Queued": 2, "Completed": 2}
     assert done.where("id = 1").first()["payload"] is None
     assert [r["location"] for r in jobs.location(done).orderBy("id").collect()] == ["/document/1/0/", "/document/1/1/"]
@@ -285,11 +295,16 @@ def test_engine(spark, tmp_path):
     texts = {(1, 1): "the labourer is worthy of his hire", (1, 2): "truly the labourer is worthy of more", (2, 1): "a different text altogether, with no link"}
     for (t, d), x in texts.items():
         engine.enqueue("Add Document", t, d, values={"title": f"{t}-{d}", "text": x, "tag": "k"})
-    assert engine.run_jobs() == 3 and engine.list_documents()[1] == 3
+    assert engine.run_jobs() == {"Completed": 3, "Failed": 0} and engine.list_documents()[1] == 3
     assert engine.get_document(1, 2).first()["meta"] == {"tag": ["k"]}
     found = engine.search("The labourer is worthy!").collect()
     assert {(r["doctype"], r["docid"]) for r in found} == {(1, 1), (1, 2)} and found[0]["fragment_count"] == 1
     assert engine.list_index(limit=3).count() == 3
+    assert {(r["doctype"], r["docid"]) for r in engine.search_document(1, 1).collect()} == {(1, 1), (1, 2)}
+    assert {(r["doctype"], r["docid"]) for r in engine.search_document(1, 1, "1", exclude_self=True).collect()} == {(1, 2)}
+    assert engine.search_document(1, 1, "2", exclude_self=True).count() == 0
+    with pytest.raises(ValueError):
+        engine.search_document(8, 8)
     for _ in range(2):  # running it again changes nothing
         engine.enqueue("Associate Document", source="1", target="1-2")
         engine.run_jobs()
@@ -305,6 +320,147 @@ def test_engine(spark, tmp_path):
     assert engine.list_documents()[1] == 0
 
 
+def test_jobs_end_one_by_one(spark, tmp_path):
+    """One bad job of ten leaves the other nine completed, each with its own status, error and place."""
+    engine = Engine(spark, str(tmp_path / "store"), SMALL)
+    for i in range(1, 11):
+        assert engine.enqueue("Add Document", 1, i, values={"title": "" if i == 4 else "t", "text": f"text of number {i}"}) == i
+    assert engine.run_jobs() == {"Completed": 9, "Failed": 1} and engine.list_documents()[1] == 9
+    bad, good = engine.queue_item(4).first(), engine.queue_item(5).first()
+    assert (bad["status"], bad["location"]) == ("Failed", None) and "title" in bad["error"]
+    assert (good["status"], good["error"], good["location"]) == ("Completed", None, "/document/1/5/")
+    engine.enqueue("Associate Document", source="no range")
+    engine.enqueue("Associate Document", source="1", target="1")
+    engine.enqueue("Delete Document", 1, 1)
+    engine.enqueue("Delete Document")
+    assert engine.run_jobs() == {"Completed": 2, "Failed": 2} and engine.list_documents()[1] == 8
+    assert engine.list_associations("1").count() > 0
+
+
+def test_a_lost_writer_changes_nothing(spark, tmp_path, monkeypatch):
+    """Documents and postings are seen together or not at all; the store goes on from what it had."""
+    from stemma.plans.store import LAYERS, Conflict, Store
+
+    engine = Engine(spark, str(tmp_path / "store"), SMALL)
+    engine.add_documents(documents(spark, [(1, 1, "the first of all texts"), (1, 2, "the second of all texts")]))
+
+    def state():
+        ids = sorted((r["doctype"], r["docid"]) for r in engine.table("documents").collect())
+        return ids, sorted({(r["doctype"], r["docid"]) for r in engine.table("postings").collect()})
+
+    def lost(*args):
+        raise RuntimeError("lost")
+
+    for step in ("_publish", "_rename"):
+        with monkeypatch.context() as patch:
+            patch.setattr(Store, step, lost)
+            for change in (lambda: engine.add_documents(documents(spark, [(1, 3, "a text that comes too late")])), lambda: engine.delete_documents(documents(spark, [(1, 1, "x")]))):
+                with pytest.raises(RuntimeError):
+                    change()
+        assert state() == ([(1, 1), (1, 2)],) * 2
+    number, layers = engine.store._manifest()
+    with pytest.raises(Conflict):
+        engine.store._publish(number, layers)  # the number of another writer
+    assert engine.store._manifest() == (number, layers)
+    expected = {(1, 1), (1, 2)}
+    for i in range(LAYERS + 2):
+        engine.add_documents(documents(spark, [(2, i % 5 + 1, f"changed again and again: {i}")]))
+        expected.add((2, i % 5 + 1))
+        if i % 6 == 5:
+            engine.delete_documents(documents(spark, [(2, 1, "x"), (9, 9, "x")]))
+            expected.discard((2, 1))
+    assert state() == (sorted(expected),) * 2 and len(engine.store._manifest()[1]) < LAYERS
+    last = {r["docid"]: r["text"] for r in engine.table("documents").where("doctype = 2").collect()}
+    assert last[3] == f"changed again and again: {max(i for i in range(LAYERS + 2) if i % 5 == 2)}"
+    engine.store.vacuum()
+    assert state() == (sorted(expected),) * 2 and len(os.listdir(tmp_path / "store" / "data")) == sum(map(len, engine.store._manifest()[1]))
+
+
+def test_server(spark, tmp_path):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from stemma.server import server
+
+    engine = Engine(spark, str(tmp_path / "store"), SMALL)
+    made = server(engine, 0)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+
+    def ask(method, place, body=None, zipped=False):
+        headers = {"Accept-Encoding": "gzip"} if zipped else {}
+        try:
+            with urlopen(Request(f"http://127.0.0.1:{made.server_port}{place}", body, headers, method=method)) as answer:
+                data = answer.read()
+                return answer.status, answer.headers["Location"], json.loads(gzip.decompress(data) if zipped else data)
+        except HTTPError as why:
+            return why.code, why.headers["Location"], json.loads(why.read())
+
+    try:
+        assert ask("POST", "/document/1/1/", b"title=one&text=the+labourer+is+worthy+of+his+hire&tag=k")[:2] == (202, "/queue/1/")
+        assert ask("POST", "/document/1/2/", b"title=two&text=truly+the+labourer+is+worthy+of+more")[0] == 202
+        assert ask("POST", "/document/1/3/", b"title=&text=x")[0] == 202
+        assert ask("GET", "/queue/1/")[0] == 202 and ask("GET", "/document/1/1/")[0] == 404
+        engine.run_jobs()
+        assert ask("GET", "/queue/1/")[:2] == (201, "/document/1/1/") and ask("GET", "/queue/3/")[0] == 400 and ask("GET", "/queue/9/")[0] == 404
+        status, _, page = ask("GET", "/document/1/1/", zipped=True)
+        assert status == 200 and page["document"]["text"].startswith("the labourer") and page["document"]["meta"] == {"tag": ["k"]}
+        status, _, page = ask("GET", "/document/1-2/?order_by=-title&limit=1")
+        assert (page["totalRows"], [r["title"] for r in page["rows"]]) == (2, ["two"])
+        status, _, page = ask("POST", "/search/1/", b"text=the+labourer+is+worthy")
+        assert status == 200 and {r["docid"] for r in page["rows"]} == {1, 2} and page["rows"][0]["fragments"]
+        assert ask("POST", "/association/1/1/")[0] == 202
+        engine.run_jobs()
+        assert ask("GET", "/association/1/")[2]["totalRows"] == 2 and ask("GET", "/index/?limit=2")[2]["totalRows"] == 2
+        assert ask("DELETE", "/document/1/2/")[0] == 202
+        engine.run_jobs()
+        assert ask("GET", "/document/")[2]["totalRows"] == 1 and ask("GET", "/queue/")[2]["totalRows"] == 5
+        assert [ask(*x)[0] for x in (("GET", "/nothing/"), ("GET", "/document/x/"), ("GET", "/document/?limit=x"), ("DELETE", "/queue/1/"), ("POST", "/search/", b"text=short"), ("DELETE", "/association/1/"))] == [404, 400, 400, 405, 400, 405]
+    finally:
+        made.shutdown()
+        made.server_close()
+
+
+def test_event_feed(spark, tmp_path):
+    """A feed is followed from where it was left, also over restarts."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from stemma.streaming import sse
+
+    assert list(sse.parsed([b": comment\n", b"id: 7\n", b"data: a\n", b"data:b\r\n", b"\n", b"\n", b"data: c\n", b"\n", b"data: cut"])) == [("7", "a\nb"), ("7", "c")]
+    sent = [json.dumps({"title": f"t{i}", "text": f"some text of event {i}", "tag": "x"}) if i != 3 else "{broken" for i in range(8)]
+
+    class Feed(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            for i in range(int(self.headers.get("Last-Event-ID", -1)) + 1, len(sent)):
+                self.wfile.write(f"id: {i}\ndata: {sent[i]}\n\n".encode())
+
+        def log_message(self, *args):
+            pass
+
+    made = ThreadingHTTPServer(("127.0.0.1", 0), Feed)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{made.server_port}/"
+    try:
+        store = str(tmp_path / "store")
+        assert Engine(spark, store, SMALL).pull_feed("news", 4, url, most=5) == 5
+        engine = Engine(spark, store, SMALL)
+        assert engine.cursor("news") == "4" and engine.pull_feed("news", 4, url) == 3 and engine.pull_feed("news", 4, url) == 0
+        rows = sorted((r["docid"], r["title"], r["meta"]["tag"]) for r in engine.table("documents").collect())
+        assert rows == [(k + 1, f"t{i}", ["x"]) for k, i in enumerate([0, 1, 2, 4, 5, 6, 7])]
+        assert {r["docid"] for r in engine.search("some text of event 6").collect()} == set(range(1, 8))
+        (tmp_path / "feeds.json").write_text(json.dumps([{"name": "late", "doctype": 5, "url": url, "lastEventId": "5"}]))
+        assert engine.pull_feeds(str(tmp_path / "feeds.json")) == 2 and engine.cursor("late") == "7"
+    finally:
+        made.shutdown()
+        made.server_close()
+
+
 def test_rendering(spark, tmp_path):
     from stemma.operators import render as R
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,23 @@ from pyspark.sql import functions as F
 
 from stemma.llm.texts import map_arrow
 
-#: Bytes of a chunk: at least, the size that normalisation aims at, at most.
-LEAST, NORMAL, MOST = 32, 96, 512
-#: A boundary needs these high bits of the hash clear: before the normal size, after it.
-STRICT, LOOSE = 8, 5
+
+
+@dataclass(frozen=True)
+class Level:
+    """Bytes of a chunk (at least, the size that normalisation aims at, at most), and how many
+    high bits of the hash a boundary needs clear, before the normal size and after it."""
+
+    least: int
+    normal: int
+    most: int
+    strict: int
+    loose: int
+
+
+#: Every text has chunks of the coarse level; one of under ``SHORT`` bytes has fine ones beside.
+COARSE, FINE = Level(32, 96, 512, 8, 5), Level(8, 24, 128, 6, 3)
+SHORT = 2048
 #: Bytes of text that one sorted block holds, about, and the most blocks.
 BLOCK_BYTES = 16 << 20
 MOST_BLOCKS = 100_000
@@ -33,53 +47,62 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def boundaries(data: bytes) -> list[int]:
+def boundaries(data: bytes, level: Level = COARSE) -> list[int]:
     """The ends of all chunks of ``data``; they move with the content, not with its place.
 
     A chunk ends after the first byte whose hash has the required high bits clear:
     more of them before the normal size, fewer after it, so sizes keep near it.
     """
     n = len(data)
-    if n <= LEAST:
+    if n <= level.least:
         return [n] if n else []
     h = gear_hashes(np.frombuffer(data, np.uint8))
-    at = np.flatnonzero(h < (1 << (32 - LOOSE)))
-    strict = (h[at] < (1 << (32 - STRICT))).tolist()
+    at = np.flatnonzero(h < (1 << (32 - level.loose)))
+    strict = (h[at] < (1 << (32 - level.strict))).tolist()
+    least, normal, most = level.least, level.normal, level.most
     ends, start = [], 0
     for i, clear in zip((at + 1).tolist(), strict):
-        while i - start > MOST:
-            start += MOST
+        while i - start > most:
+            start += most
             ends.append(start)
         size = i - start
-        if size >= NORMAL or (clear and size >= LEAST):
+        if size >= normal or (clear and size >= least):
             ends.append(i)
             start = i
-    while n - start > MOST:
-        start += MOST
+    while n - start > most:
+        start += most
         ends.append(start)
     if start < n:
         ends.append(n)
     return ends
 
 
-def chunk_set(data: bytes) -> dict[int, int]:
+def chunk_set(data: bytes, level: Level = COARSE) -> dict[int, int]:
     """Digest to length of every different chunk."""
     made, start = {}, 0
     digest = xxhash.xxh3_64_intdigest
-    for end in boundaries(data):
+    for end in boundaries(data, level):
         made[digest(data[start:end])] = end - start
         start = end
     return made
 
 
-def render(chunks: dict[int, int]) -> str:
-    """The fingerprint as text: 16 hex digits of digest and 4 of length for each chunk, in order."""
-    return "".join(f"{d:016x}{n:04x}" for d, n in sorted(chunks.items()))
+def fingerprint(data: bytes) -> tuple[dict[int, int], dict[int, int] | None]:
+    """The coarse chunks of a text, and the fine ones of a short text."""
+    return chunk_set(data), chunk_set(data, FINE) if len(data) < SHORT else None
 
 
-def parse(fingerprint: str) -> dict[int, int]:
-    cut = (fingerprint[i : i + ENTRY] for i in range(0, len(fingerprint), ENTRY))
-    return {int(c[:16], 16): int(c[16:], 16) for c in cut}
+def render(levels: tuple[dict[int, int], dict[int, int] | None]) -> str:
+    """The fingerprint as text: 16 hex digits of digest and 4 of length for each chunk, in order; fine ones after a slash."""
+    return "/".join("".join(f"{d:016x}{n:04x}" for d, n in sorted(x.items())) for x in levels if x is not None)
+
+
+def parse(text: str) -> tuple[dict[int, int], dict[int, int] | None]:
+    made = []
+    for part in text.split("/"):
+        cut = (part[i : i + ENTRY] for i in range(0, len(part), ENTRY))
+        made.append({int(c[:16], 16): int(c[16:], 16) for c in cut})
+    return made[0], made[1] if len(made) > 1 else None
 
 
 def containment(of: dict[int, int], inside: dict[int, int]) -> float:
@@ -89,6 +112,12 @@ def containment(of: dict[int, int], inside: dict[int, int]) -> float:
     return sum(n for d, n in of.items() if d in inside) / sum(of.values())
 
 
+def likeness(of: tuple, inside: tuple) -> float:
+    """Containment by fine chunks where both texts have them, else by coarse ones."""
+    fine = of[1] is not None and inside[1] is not None
+    return containment(of[fine], inside[fine])
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half of code points replaced by as many of the following one's first."""
     half = len(text) // 2
@@ -140,7 +169,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     many (or all) of the next document in ascending doc_id, after the last the
     first. Likenesses are containments of the document's chunk set.
 
-    Null text counts as empty; an empty text has the empty fingerprint, contained
+    Bytes that are no UTF-8 count as replacement marks. Null text counts as empty; an empty text has the empty fingerprint, contained
     in an empty one alone and containing nothing else. Rows of equal doc_id follow
     one another in the order of their texts; null ids come last. A table of one row
     is its own next. Empty table: empty result. Other columns are ignored.
@@ -152,16 +181,16 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     def judged(before, after):
         doc_id, text, chunks = before
         other = edited(text, after[1]).encode()
-        changed = chunk_set(other)
-        return (doc_id, len(text), hashlib.sha256(other).hexdigest(), render(chunks), render(changed), containment(chunks, changed), containment(chunks, after[2]))
+        changed = fingerprint(other)
+        return (doc_id, len(text), hashlib.sha256(other).hexdigest(), render(chunks), render(changed), likeness(chunks, changed), likeness(chunks, after[2]))
 
     def run(batches):
         held = first = None
         for batch in batches:
             out = []
             for block, last, doc_id, data in zip(*(c.to_pylist() for c in batch.columns)):
-                data = data or b""
-                row = (doc_id, data.decode(), chunk_set(data))
+                text = (data or b"").decode("utf-8", "replace")
+                row = (doc_id, text, fingerprint(text.encode()))
                 if held is None or held[0] != block:
                     # A block without a row after its last goes on at its own first.
                     if held is not None:

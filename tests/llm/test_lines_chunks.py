@@ -128,14 +128,14 @@ def plain_gear(data):
     return out
 
 
-def plain_boundaries(data):
+def plain_boundaries(data, level):
     h, start, ends = plain_gear(data), 0, []
-    if len(data) <= C.LEAST:
+    if len(data) <= level.least:
         return [len(data)] if data else []
     for i in range(1, len(data) + 1):
         size = i - start
-        bits = C.STRICT if size < C.NORMAL else C.LOOSE
-        if i == len(data) or (size >= C.LEAST and h[i - 1] < 1 << (32 - bits)) or size == C.MOST:
+        bits = level.strict if size < level.normal else level.loose
+        if i == len(data) or (size >= level.least and h[i - 1] < 1 << (32 - bits)) or size == level.most:
             ends.append(i)
             start = i
     return ends
@@ -145,18 +145,33 @@ def plain_boundaries(data):
 def test_boundaries(n):
     rng = random.Random(n)
     for data in (bytes(rng.choice(b"abcdefgh ") for _ in range(n)), b"a" * n):
-        assert C.boundaries(data) == plain_boundaries(data)
-        assert sum(C.chunk_set(data).values()) <= n
+        for level in (C.COARSE, C.FINE):
+            assert C.boundaries(data, level) == plain_boundaries(data, level)
+            assert sum(C.chunk_set(data, level).values()) <= n
+        assert (C.fingerprint(data)[1] is None) == (n >= C.SHORT)
 
 
 def test_shift_resistance(words):
     rng = random.Random(4)
     text = " ".join(rng.choice(words) for _ in range(3000)).encode()
-    whole = C.chunk_set(text)
-    assert C.parse(C.render(whole)) == whole and C.containment(whole, whole) == 1
-    assert C.containment(whole, C.chunk_set(b"some words before " + text)) > 0.97
-    assert C.containment(whole, C.chunk_set(text[: len(text) // 2])) == pytest.approx(0.5, abs=0.03)
-    assert (C.containment({}, {}), C.containment({}, whole), C.containment(whole, {})) == (1.0, 0.0, 0.0)
+    whole = C.fingerprint(text)
+    assert C.parse(C.render(whole)) == whole and C.likeness(whole, whole) == 1
+    assert C.likeness(whole, C.fingerprint(b"some words before " + text)) > 0.97
+    assert C.likeness(whole, C.fingerprint(text[: len(text) // 2])) == pytest.approx(0.5, abs=0.03)
+    nothing = C.fingerprint(b"")
+    assert (C.likeness(nothing, nothing), C.likeness(nothing, whole), C.likeness(whole, nothing)) == (1.0, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("n,least", [(90, 0.6), (150, 0.8), (400, 0.95)])
+def test_short_texts_show_what_stays(words, n, least):
+    """Of texts of ``n`` characters whose last half is replaced, most are told from strangers."""
+    rng = random.Random(n)
+    made = lambda: " ".join(rng.choice(words) for _ in range(n))[:n].encode()
+    texts = [made() for _ in range(200)]
+    assert all(C.parse(C.render(f)) == f for f in map(C.fingerprint, texts))
+    near = [C.likeness(C.fingerprint(t), C.fingerprint(t[: n // 2] + made()[: n // 2])) for t in texts]
+    assert sum(x > 0 for x in near) >= least * 200 and max(near) < 0.9
+    assert sum(C.likeness(C.fingerprint(a), C.fingerprint(b)) for a, b in zip(texts, texts[1:])) == 0
 
 
 @pytest.mark.parametrize("block", [1, 3000, 1 << 24])
@@ -174,8 +189,8 @@ def check_chunks(rows, ordered):
     for k, (i, t) in enumerate(ordered):
         t, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
         e = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
-        a, b = C.chunk_set(t.encode()), C.chunk_set(e.encode())
-        expected.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), C.render(a), C.render(b), C.containment(a, b), C.containment(a, C.chunk_set(after.encode()))))
+        a, b = C.fingerprint(t.encode()), C.fingerprint(e.encode())
+        expected.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), C.render(a), C.render(b), C.likeness(a, b), C.likeness(a, C.fingerprint(after.encode()))))
     assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
 
 
@@ -188,3 +203,5 @@ def test_edges_of_chunks(spark, monkeypatch, block):
     assert C.fingerprint_report(docs.where("false")).count() == 0
     check_chunks(C.fingerprint_report(documents(spark, ["only one text"])).collect(), [(0, "only one text")])
     check_chunks(C.fingerprint_report(documents(spark, ["a", "b"], ids=[None, None])).collect(), [(None, "a"), (None, "b")])
+    broken = spark.range(2).select(F.col("id").alias("doc_id"), F.expr("cast(X'61FF62' as string)").alias("text"))
+    check_chunks(C.fingerprint_report(broken).collect(), [(0, "a\ufffdb"), (1, "a\ufffdb")])

@@ -26,6 +26,16 @@ PIVOTS = [sum(1 << i for i in range(64) if bin(i & k).count("1") % 2) for k in (
 BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
+def voted(batches) -> int:
+    """The 64-bit SimHash, as an unsigned number, of hashes in arrays: each bit as most of them have it, else 0."""
+    counts, n, lane = np.zeros((8, 256), np.int64), 0, np.arange(8) * 256
+    for hashes in batches:
+        counts += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + lane).ravel(), minlength=2048).reshape(8, 256)
+        n += len(hashes)
+    ones = (counts @ BITS).ravel() * 2 > n
+    return int(np.packbits(ones, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of a text as an unsigned number; 0 for a text without words."""
     words = (text or b"").lower().split()
@@ -37,15 +47,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     stops = np.concatenate((ends, [len(joined)]))
     k = min(shingle, len(words))
     starts, stops = starts[: len(words) - k + 1], stops[k - 1 :]
-    counts = np.zeros((8, 256), np.int64)
-    lane = np.arange(8) * 256
     xxh64 = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), 1 << 18):
-        spans = zip(starts[at : at + (1 << 18)].tolist(), stops[at : at + (1 << 18)].tolist())
-        hashes = np.array([xxh64(joined[i:j], SEED) for i, j in spans], "<u8")
-        counts += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + lane).ravel(), minlength=2048).reshape(8, 256)
-    ones = (counts @ BITS).ravel() * 2 > len(starts)
-    return int(np.packbits(ones, bitorder="little").view("<u8")[0])
+
+    def hashed():
+        for at in range(0, len(starts), 1 << 18):
+            spans = zip(starts[at : at + (1 << 18)].tolist(), stops[at : at + (1 << 18)].tolist())
+            yield np.array([xxh64(joined[i:j], SEED) for i, j in spans], "<u8")
+
+    return voted(hashed())
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

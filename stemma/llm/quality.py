@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stemma.llm.texts import SPACE
 from stemma.shared import materialise
 
+#: Words of a window; a power of two.
 WINDOW = 8
 #: Labelled documents that a fit reads at most.
 SAMPLE = 20_000
@@ -49,36 +50,44 @@ def _repeated_words(grams: Column) -> Column:
     return swept(F.sort_array(F.transform(_let(rows, neighbours), lambda x: x["i"])))
 
 
+def _window_digests(words: Column) -> Column:
+    """Digests of all windows of ``WINDOW`` words, each of two digests of half as many."""
+    out, size = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while size < WINDOW:
+        step = size
+
+        def joined(a: Column) -> Column:
+            later = F.slice(a, F.lit(step + 1), F.greatest(F.size(a) - step, F.lit(0)))
+            return F.zip_with(a, later, lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
+
+        out, size = _let(out, joined), 2 * size
+    return F.filter(out, lambda h: h.isNotNull())
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the columns of ``STATISTICS`` (long) and ``base_failed`` to every row.
 
     Each row is judged alone, so nothing is shuffled. A null text counts as empty.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    trimmed = F.regexp_replace(value, rf"\A{SPACE}|{SPACE}\z", "")
+    trimmed = F.btrim(value, F.lit(" \t\n\x0b\x0c\r"))
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
     lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def grams(words: Column) -> Column:
-        last = F.size(words) - (WINDOW - 1)
-        made = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-        return F.when(last >= 2, made).otherwise(F.array().cast("array<bigint>"))
-
     def repeats(grams: Column) -> Column:
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), 0).otherwise(_repeated_words(grams))
 
-    of_words = _let(words, lambda w: F.struct(F.size(w).alias("n"), _let(grams(w), repeats).alias("repeated"), F.size(F.array_distinct(w)).alias("distinct")))
+    of_words = _let(words, lambda w: F.struct(F.size(w).alias("n"), _let(_window_digests(w), repeats).alias("repeated"), F.size(F.array_distinct(w)).alias("distinct"), F.length(F.array_join(w, "")).alias("chars")))
     of_lines = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("repeated")))
     # The row number makes the optimiser evaluate this once per row: it neither
     # pushes later filters below it nor repeats it for each use.
     made = F.struct(
         of_words.alias("words"), of_lines.alias("lines"),
-        F.length(F.regexp_replace(value, SPACE, "")).alias("chars"),
-        F.length(F.regexp_replace(value, "[^#*$%&|<>]+", "")).alias("symbols"),
+        F.regexp_count(value, F.lit("[#*$%&|<>]")).alias("symbols"),
         F.monotonically_increasing_id().alias("row"),
     )
     fields = {
-        "n_words": "words.n", "word_chars": "chars", "n_symbols": "symbols", "n_dup_lines": "lines.repeated",
+        "n_words": "words.n", "word_chars": "words.chars", "n_symbols": "symbols", "n_dup_lines": "lines.repeated",
         "n_repeat_words": "words.repeated", "n_lines": "lines.n", "n_distinct_words": "words.distinct",
     }
     rows = docs.withColumn("__made", made).withColumns({k: F.col(f"__made.{v}").cast("long") for k, v in fields.items()}).drop("__made")

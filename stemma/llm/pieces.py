@@ -489,7 +489,9 @@ class Codec:
         return self.encode_all([text])[0].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; bytes that are no UTF-8 become replacement marks."""
+        """The text of ids; bytes that are no UTF-8 become replacement marks, ids outside the vocabulary the unknown piece."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.out)):
+            ids = np.where((ids >= 0) & (ids < len(self.out)), ids, self.unknown)
         text = b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if self.vocabulary.prefix and text[:1] == " " else text
 
@@ -507,7 +509,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     Whole texts are encoded as the model's own library does; ``exact`` says that
     decoding gives the text back, which only a text with U+2581 itself, or an
-    unknown character without byte pieces, does not. Null and empty texts have no
+    unknown character without byte pieces, does not. A very long text is searched
+    block by block. Null and empty texts have no
     ids and are exact. Null ids and repeated rows: each row its own result. Empty
     table: empty result. Other columns are ignored, whatever their names.
     """
@@ -530,7 +533,12 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """Rows (doc_id, text) of rows (doc_id, ids); null ids give an empty text."""
+    """Rows (doc_id, text) of rows (doc_id, ids).
+
+    Null or no ids: an empty text. A null among the ids, and an id outside the
+    vocabulary: the unknown piece. Null doc_id and repeated rows: each row its own.
+    Empty table: empty result. Other columns are ignored, whatever their names.
+    """
     spark = encoded.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary.read(model))
     key = f"{spark.sparkContext.applicationId}:{model}"
@@ -539,7 +547,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         codec = _codec(vocabulary.value, key)
         for batch in batches:
-            texts = [codec.decode(np.array(x or [], np.int32)) for x in batch.column(1).to_pylist()]
+            texts = [codec.decode(np.array([-1 if i is None else i for i in x or []], np.int32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=schema)
 
     return map_arrow(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), run, "doc_id long, text string", rows=256)

@@ -191,6 +191,8 @@ def test_edges_of_pieces(spark, library):
     assert all(r["n_ids"] == len(r["ids"]) for r in rows)
     back = pieces.decode(made.where("exact"))
     assert sorted(r["text"] for r in back.collect()) == sorted(t or "" for t in texts if pieces.SPACE not in (t or ""))
+    odd = spark.createDataFrame([(1, [259, 70_000, -4, None]), (None, None), (2, [])], "doc_id long, ids array<int>")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in pieces.decode(odd).collect()) == [(0, ""), (1, library.decode([259, 0, 0, 0])), (2, "")]
 
 
 def test_forgetting_changes_nothing(codec, library, monkeypatch):

@@ -4,7 +4,8 @@ import random
 from collections import Counter
 
 import sentencepiece
-from conftest_llm import documents
+import pytest
+from conftest_llm import documents, with_clashes
 
 import corpus_pipeline
 from stemma.llm import mixing, pieces, quality
@@ -61,3 +62,33 @@ def test_stages(spark, words, tmp_path):
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded) == Counter((r["doc_id"], tuple(library.encode(r["text"]))) for r in mixed)
     assert all(r["exact"] for r in encoded)
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(r["doc_id"] for r in encoded)
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_edges_of_the_pipeline(spark, words, tmp_path, kind):
+    """Nulls in any column, repeated rows, emptied texts, clashing names; an empty table."""
+    rng = random.Random(2)
+    lines = ["\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(4)) for _ in range(12)]
+    texts = [*lines, lines[0], "\n".join(x.split("\n")[0] for x in lines[1:5]), None, "", "few words", lines[11], lines[11], lines[10]]
+    ids = [*range(12), 12, 13, 14, 15, 16, 17, 17, None]
+    sources = [None if i % 3 == 0 else "a" for i in range(len(texts))]
+    docs = with_clashes(documents(spark, texts, sources, langs=[None] * len(texts), ids=ids))
+    if kind == "none":
+        docs = docs.where("false")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame, rows = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        frame = materialise(stage(spark, frame, str(tmp_path)), "edge")
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert frame.columns == docs.columns
+        rows.append(frame.collect())
+    first, lined, apart, mixed, encoded = rows
+    if kind == "none":
+        assert rows == [[]] * 5
+        return
+    assert sorted((r["doc_id"] for r in first), key=str) == sorted((i for i, t in zip(ids, texts) if len((t or "").split()) >= 20), key=str)
+    emptied = {r["doc_id"] for r in lined if not r["text"].strip()}
+    assert emptied == {12, 13, 17} and [r["text"] for r in lined if r["doc_id"] is None] == [lines[10]]
+    assert {r["doc_id"] for r in apart} == {*range(12), 12}  # the row without an id is a copy of document 10
+    assert {r["doc_id"]: len(r["ids"]) for r in encoded}[12] == 0 and len(encoded) == len(mixed)

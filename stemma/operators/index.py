@@ -42,7 +42,9 @@ def delete_from_index(postings: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shard(config: EngineConfig) -> Column:
-    return F.expr(f"hash div {config.shard_size}")
+    """The highest bits of a hash, also where it has all 64."""
+    bits = config.shards.bit_length() - 1
+    return F.shiftrightunsigned("hash", config.hash_width - bits) if bits else F.lit(0).cast("long")
 
 
 def _varint_bytes(value: Column) -> Column:

@@ -156,6 +156,18 @@ def test_search_against_plain(spark, shards):
         S.check_query("short", config)
 
 
+@pytest.mark.parametrize("width,shards", [(64, 1), (64, 4), (40, 4)])
+def test_wide_hashes(spark, width, shards):
+    """Wide hashes find what narrow ones find, without the documents that only share a hash."""
+    config = replace(SMALL, hash_width=width, shards=shards, min_hits=1)
+    docs = documents(spark, [(1, i + 1, f"river and stone in winter, number {i % 4} of all") for i in range(12)])
+    postings = I.build_index(docs, config)
+    queries = spark.createDataFrame([(0, "stone in winter, number 3")], "query_id long, text string")
+    hits = S.hits(queries, postings, config).select(I.shard(config).alias("shard")).distinct().collect()
+    assert {r["shard"] for r in hits} <= set(range(shards))
+    assert {r["docid"] for r in S.search(queries, postings, replace(config, shards=1, min_hits=18)).collect()} == {4, 8, 12}
+
+
 def test_index_round_trip(spark):
     docs = documents(spark, [(1, 1, "abcdefghijklmnop"), (1, 2, "abcdefghijklxyz"), (2, 1, "short"), (2, 2, "abcdefgh")])
     postings = I.build_index(docs, SMALL)

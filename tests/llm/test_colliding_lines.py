@@ -53,7 +53,7 @@ def test_filters_of_one_shard(spark, colliding):
     assert dropped(index) == dropped(L.LineIndex.build(docs.where("doc_id <> 2"))) != []
 
 
-@pytest.mark.parametrize("marks,shard_keys,segments", [(3, 400_000, 16), (3, 20, 2), (0xFFFF, 20, 1)])
+@pytest.mark.parametrize("marks,shard_keys,segments", [(3, 400_000, 16), (3, 20, 1)])
 def test_any_history_is_a_build(spark, monkeypatch, marks, shard_keys, segments):
     """With marks of two bits nearly every key is seen by chance and filters overflow; what is dropped stays what a build drops."""
     monkeypatch.setattr(C, "MARKS", marks)
@@ -64,12 +64,12 @@ def test_any_history_is_a_build(spark, monkeypatch, marks, shard_keys, segments)
     texts = ["\n".join(rng.choice(lines, rng.integers(1, 9))) for _ in range(60)]
     docs = documents(spark, texts)
     index, held = L.LineIndex.build(docs.where("doc_id < 10")), set(range(10))
-    for step in range(4):
+    for step in range(3):
         new = {int(i) for i in rng.choice(60, 15)}
         index, held = index.insert(docs.where(F.col("doc_id").isin(sorted(new)))), held | new
         old = {int(i) for i in rng.choice(sorted(held), 8)}
         index, held = index.delete(ids(spark, *old)), held - old
-        if step % 2:
+        if step:
             built = L.LineIndex.build(docs.where(F.col("doc_id").isin(sorted(held))))
             assert dropped(index) == dropped(built) != []
             assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, built.counts.collect()))

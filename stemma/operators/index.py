@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.functions.hashing import exploded, window_hashes
@@ -64,10 +64,13 @@ def posting_lines(postings: DataFrame) -> DataFrame:
 
 def line_stats(postings: DataFrame, config: EngineConfig, full: int = 255) -> DataFrame:
     """By shard: lines, their bytes and postings, and how many lines and postings a store of lines of under ``full`` bytes could not hold."""
-    lines = posting_lines(postings)
-    held = F.aggregate("doctypes", F.lit(0), lambda acc, t: acc + F.size(t["docids"])).cast("long")
+    earlier = F.lag("docid", 1, 0).over(Window.partitionBy("hash", "doctype").orderBy("docid"))
+    sized = postings.withColumn("delta", F.col("docid") - earlier)
+    types = sized.groupBy("hash", "doctype").agg(F.count(F.lit(1)).alias("n"), F.sum(_varint_bytes(F.col("delta"))).alias("size"))
+    own = _varint_bytes(F.col("doctype")) + _varint_bytes(F.col("size")) + F.col("size")
+    lines = types.groupBy("hash").agg((1 + F.sum(own)).alias("bytes"), F.sum("n").alias("n"))
     over = F.col("bytes") >= full
-    made = lines.select(shard(config).alias("shard"), "bytes", held.alias("n")).groupBy("shard").agg(
+    made = lines.select(shard(config).alias("shard"), "bytes", "n").groupBy("shard").agg(
         F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"), F.sum("n").alias("postings"),
         F.count_if(over).alias("saturated"), F.coalesce(F.sum(F.when(over, F.col("n"))), F.lit(0)).alias("ignored"),
     )

@@ -19,7 +19,7 @@ def parse_fragments(text: Column) -> Column:
 
 
 def response(rows: DataFrame, total: int | None = None) -> DataFrame:
-    """One JSON document: success, rows, and the total of which they are a page."""
+    """One JSON document: success, the rows of a page, and the total of which they are one; long results go to ``write_json``."""
     listed = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
     return listed.select(F.to_json(F.struct(F.lit(True).alias("success"), "rows", (F.lit(total) if total is not None else F.size("rows")).cast("long").alias("totalRows"))).alias("value"))
 
@@ -29,6 +29,24 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.option("compression", "gzip").json(path)
 
 
+def match_lines(ranked: DataFrame) -> DataFrame:
+    """A line of text for each match of a search: rank, id, hits, mean step and score."""
+    line = F.format_string("%4d %6d/%-8d %6d %9.3f %9.6f", "rank", "doctype", "docid", "count", "mean", "score")
+    return ranked.select("query_id", "rank", line.alias("line")).orderBy("query_id", "rank")
+
+
+def posting_text(lines: DataFrame) -> DataFrame:
+    """Lines of the index as text: of each type its ids and their steps."""
+    text = F.transform("doctypes", lambda t: F.concat(t["doctype"].cast("string"), F.lit(":"), F.array_join(t["docids"], ","), F.lit("/"), F.array_join(t["deltas"], ",")))
+    return lines.select("hash", "bytes", F.array_join(text, " ").alias("line"))
+
+
+def job_lines(queue: DataFrame) -> DataFrame:
+    """A line of text for each job: id, status, command, what it is about and its error."""
+    about = F.concat_ws(" ", F.concat_ws("/", "source_doctype", "source_docid"), "source_range", "target_range")
+    return queue.select("id", F.trim(F.concat_ws(" ", F.format_string("%6d %-9s %-18s", "id", "status", "command"), about, "error")).alias("line")).orderBy("id")
+
+
 def association_lines(found: DataFrame, documents: DataFrame) -> DataFrame:
     """A line of text for each fragment under its document's title: places, length and the original text."""
     titles = documents.select("doctype", "docid", pretty(F.col("title"), 15).alias("title"), "text")

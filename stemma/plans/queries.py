@@ -18,7 +18,7 @@ from stemma.operators import associate as pairs
 from stemma.operators import documents as docs
 from stemma.operators import index as idx
 from stemma.operators import search as srch
-from stemma.operators.render import fragment_json
+from stemma.operators.render import fragment_json, posting_text
 from stemma.plans import jobs
 from stemma.plans.config import EngineConfig
 from stemma.shared import materialise, shared_root, spread
@@ -75,9 +75,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = idx.list_index(idx.build_index(collection(spark, sf_dir), CONFIG), 1000, 100)
-    text = F.transform("doctypes", lambda t: F.concat(t["doctype"].cast("string"), F.lit(":"), F.array_join(t["docids"], ","), F.lit("/"), F.array_join(t["deltas"], ",")))
-    return lines.select("hash", "bytes", F.array_join(text, " ").alias("line"))
+    return posting_text(idx.list_index(idx.build_index(collection(spark, sf_dir), CONFIG), 1000, 100))
 
 
 def index_line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

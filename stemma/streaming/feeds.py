@@ -36,8 +36,12 @@ def numbered(new: DataFrame, known: DataFrame) -> DataFrame:
     """Give events of a batch the next docids of their type; events already known keep theirs.
 
     ``known`` has doctype, event_id, docid. So a batch that is replayed changes nothing.
+    Of the known events only those from the batch's lowest id on are looked at; where
+    ids rise, files of earlier ones are skipped by their statistics.
     """
-    fresh = new.dropDuplicates(["doctype", "event_id"]).join(known.select("doctype", "event_id"), ["doctype", "event_id"], "left_anti")
+    least = new.agg(F.min("event_id")).first()[0]
+    late = known.where(F.col("event_id") >= F.lit(least)).select("doctype", "event_id")
+    fresh = new.dropDuplicates(["doctype", "event_id"]).join(late, ["doctype", "event_id"], "left_anti")
     last = known.groupBy("doctype").agg(F.max("docid").alias("last"))
     rank = F.row_number().over(Window.partitionBy("doctype").orderBy("event_id"))
     return fresh.withColumn("nth", rank).join(last, "doctype", "left").withColumn("docid", F.coalesce("last", F.lit(0)) + F.col("nth")).drop("nth", "last")

@@ -50,7 +50,7 @@ class Engine:
     def add_documents(self, new: DataFrame) -> None:
         """Add documents; those with an id that is there already replace it."""
         new = new.dropDuplicates(docs.KEY).select(*docs.COLUMNS)
-        self.store.commit({"gone": new.select(*docs.KEY), "documents": new, "postings": idx.build_index(new, self.config)})
+        self.store.commit({"documents": new, "gone": lambda kept: kept["documents"].select(*docs.KEY), "postings": lambda kept: idx.build_index(kept["documents"], self.config)})
 
     def delete_documents(self, ids: DataFrame) -> None:
         self.store.commit({"gone": ids.select(*docs.KEY).distinct()})
@@ -86,7 +86,7 @@ class Engine:
         rows = rows.withColumn("docid", nth).withColumnRenamed("meta", "own")
         made = docs.build_documents(rows, F.col("doctype"), F.col("docid"), F.col("title"), F.col("text"), own=F.col("own"))
         cursor = self.spark.createDataFrame([(name, self.table("cursors").count() + 1, came[-1][0])], _TABLES["cursors"])
-        self.store.commit({"documents": made, "postings": idx.build_index(made, self.config), "cursors": cursor})
+        self.store.commit({"documents": made, "postings": lambda kept: idx.build_index(kept["documents"], self.config), "cursors": cursor})
         return len(came)
 
     def pull_feeds(self, path: str, most: int = 1000, timeout: float = 5.0) -> int:

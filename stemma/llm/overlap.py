@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stemma.llm import simhash
 from stemma.llm.components import connected_components
 from stemma.llm.texts import map_arrow
-from stemma.shared import materialise
+from stemma.shared import drop, materialise, scratch
 
 SHINGLE = 5
 SEED = 42
@@ -26,6 +26,8 @@ PART, WHOLE = 4, 5
 HOT_ROWS = 4096
 #: Shingles are counted in one set of so many.
 SOME = 16
+#: Shingles in so many of the counted sets are common; at most so many of them, the most frequent, are known as such.
+COMMON_SETS, COMMON = 4, 1 << 18
 #: Keys that a task gathers before it compares them, and pairs before it hands them on.
 GATHERED = 1 << 18
 
@@ -73,14 +75,61 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, node, fingerprint, size, prefix, parity): a digest of the set, its SimHash, size, lowest shingles and parities."""
+def common_shingles(docs: DataFrame, some: int = SOME, least: int = COMMON_SETS, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, in rising order, and the rank of each by its frequency, rarest first.
+
+    Counted in one of ``some`` different texts, in executors; at most ``most`` come to
+    the driver. They set an order of shingles, so what the count misses costs time only.
+    """
+    schema = pa.schema([("key", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py()).view(np.int64))], schema=schema)
+
+    texts = docs.select(F.col("text").cast("binary").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(some)) == 0).distinct()
+    counted = map_arrow(texts, run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") >= least)
+    counted = materialise(counted, "common-shingles")
+    held, floor = 0, None
+    for row in counted.groupBy("sets").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("sets")).collect():
+        held += row["n"]
+        if held > most:
+            break
+        floor = row["sets"]
+    if floor is None:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    found = counted.where(F.col("sets") >= floor).toArrow()
+    keys, sets = found.column("key").to_numpy().view(np.uint64), found.column("sets").to_numpy()
+    order = np.argsort(keys)
+    keys, sets = keys[order], sets[order]
+    ranks = np.empty(len(keys), np.int64)
+    ranks[np.lexsort((keys, sets))] = np.arange(len(keys))
+    return keys, ranks
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, as many as ``prefix_length`` says: the common ones come last, rarest first, the others by hash."""
+    keys, ranks = common
+    n = prefix_length(len(shingles))
+    if not len(keys) or not len(shingles):
+        return shingles[:n]
+    at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+    known = keys[at] == shingles
+    rare = shingles[~known][:n]
+    if len(rare) == n:
+        return rare
+    return np.concatenate((rare, shingles[known][np.argsort(ranks[at[known]])][: n - len(rare)]))
+
+
+def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.int64))) -> DataFrame:
+    """Rows (doc_id, node, fingerprint, size, prefix, parity): a digest of the set, its SimHash, size, first shingles and parities."""
     schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("fingerprint", pa.int64()), ("size", pa.int32()), ("prefix", pa.list_(pa.int64())), ("parity", pa.binary())])
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            low = [s[: prefix_length(len(s))].view(np.int64) for s in sets]
+            low = [prefix(s, common).view(np.int64) for s in sets]
             prints = np.array([simhash.voted([s]) for s in sets], "<u8").view("<i8")
             columns = [batch.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(prints), pa.array([len(s) for s in sets], pa.int32()), pa.array(low, pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -88,11 +137,12 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")), run, "doc_id long, node long, fingerprint long, size int, prefix array<long>, parity binary", rows=256)
 
 
-def pairs_within(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray):
+def pairs_within(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray, roots: np.ndarray):
     """Pairs (a, b) of rows of equal keys whose sizes and places in the sets allow the similarity.
 
     Rows come in the order of keys, then sizes. Of the first shingle that two sets
-    share, only what follows it in both can be in common too.
+    share, only what follows it in both can be in common too. Rows of one root,
+    other than 0, are linked already.
     """
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     end = np.repeat(np.concatenate((starts[1:], [len(keys)])), np.diff(np.concatenate((starts, [len(keys)]))))
@@ -105,13 +155,14 @@ def pairs_within(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, places:
             return
         other = alive + step
         fits = near_enough(np.minimum(rest[alive], rest[other]), sizes[alive], sizes[other]) & (nodes[alive] != nodes[other])
+        fits &= (roots[alive] != roots[other]) | (roots[alive] == 0)
         a, b = nodes[alive[fits]], nodes[other[fits]]
         yield np.minimum(a, b), np.maximum(a, b)
         step += 1
 
 
 def _candidates(keyed: DataFrame) -> DataFrame:
-    """Different pairs (a, b) of rows (key, size, place, node) that share a key and may be similar."""
+    """Different pairs (a, b) of rows (key, size, place, node, root) that share a key and may be similar."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -119,7 +170,7 @@ def _candidates(keyed: DataFrame) -> DataFrame:
 
         def found(columns):
             made, n = [], 0
-            for pair in pairs_within(columns[0], columns[3], columns[1].astype(np.int64), columns[2].astype(np.int64)):
+            for pair in pairs_within(columns[0], columns[3], columns[1].astype(np.int64), columns[2].astype(np.int64), columns[4]):
                 made.append(np.stack(pair))
                 n += len(pair[0])
                 if n >= GATHERED:
@@ -144,18 +195,20 @@ def _candidates(keyed: DataFrame) -> DataFrame:
         if held:
             yield from found([np.concatenate(c) for c in zip(*held)])
 
-    ordered = keyed.select("key", "size", "place", "node").repartition("key").sortWithinPartitions("key", "size")
+    ordered = keyed.select("key", "size", "place", "node", "root").repartition("key").sortWithinPartitions("key", "size")
     return map_arrow(ordered, run, "a long, b long", rows=1 << 16).distinct()
 
 
 def candidates(classes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """All pairs (a, b) of sets (node, size, prefix) that may be similar.
+    """All pairs (a, b) of sets (node, size, prefix, root) that may be similar, but those of one root (null: none).
 
-    Two sets of Jaccard similarity s or more share one of the lowest n - ceil(s n) + 1
+    Two sets of Jaccard similarity s or more share one of the first n - ceil(s n) + 1
     shingles of each, whatever the order of shingles, if all sets keep to it; so no pair is left
-    out. Shingles in more than about ``hot_rows`` prefixes are cut into pairs of tiles.
+    out. With common shingles last in that order, a passage that a part of all texts share makes
+    no pairs of texts that differ in the rest. Shingles in more than about ``hot_rows`` prefixes
+    are cut into pairs of tiles.
     """
-    keyed = classes.select("node", "size", F.posexplode("prefix").alias("place", "key"))
+    keyed = classes.select("node", "size", F.coalesce("root", F.lit(0).cast("long")).alias("root"), F.posexplode("prefix").alias("place", "key"))
     # An estimate from some of the sets will do: it sets the number of tiles, not what is compared.
     some = keyed.where(F.pmod(F.xxhash64("node"), F.lit(SOME)) == 0)
     hot = materialise(some.groupBy("key").agg((F.count(F.lit(1)) * SOME).alias("rows")).where(F.col("rows") > hot_rows), "hot-shingles")
@@ -199,8 +252,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_arrow(joined.select("a", "b", "left", "right"), run, "a long, b long", rows=64)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (node, shingles) with the whole sets of the ``wanted`` (node, first_id)."""
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (node, shingles) with the whole sets at the ends of the ``pairs`` of ``classes``."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(classes.select("node", "first_id").join(ends, "node", "left_semi"), "wanted-sets")
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
@@ -238,25 +293,31 @@ def components(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     reached. Equal sets are one node, so copies are never paired; a text without
     words has the empty set. Null ids name no component.
     """
-    marked = materialise(_prefixes(docs), "prefixes")
-    classes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "set-classes")
-    pairs = materialise(_possible(candidates(classes, hot_rows), classes), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(_sets(docs, classes.select("node", "first_id").join(ends, "node", "left_semi")), "whole-sets")
-    # The first look links most of a dense group, by the SimHash links that may be similar and one star
-    # for each set; the second judges all pairs that are still apart.
-    seen = simhash_pairs(classes, hot_rows=hot_rows).join(pairs, ["a", "b"], "left_semi")
-    first = seen.unionByName(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
-    stars = materialise(_verified(first, sets), "star-links")
-    near = materialise(connected_components(stars), "star-roots")
-    a = near.select(F.col("node").alias("a"), F.col("component").alias("root_a"))
-    b = near.select(F.col("node").alias("b"), F.col("component").alias("root_b"))
-    apart = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = stars.unionByName(_verified(apart, sets))
-    roots = materialise(connected_components(links), "set-roots")
-    rooted = classes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
-    return marked.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    with scratch(docs.sparkSession) as keep:
+        marked = materialise(_prefixes(docs, common_shingles(docs)), "prefixes")
+        ids = materialise(marked.select("doc_id", "node"), "set-ids")
+        classes = materialise(marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")), "set-classes")
+        drop(marked)
+        # What the SimHash links join is never paired again, so a dense group of near copies costs one link for each set.
+        seen = materialise(_possible(simhash_pairs(classes, hot_rows=hot_rows), classes), "simhash-pairs")
+        links = materialise(_verified(seen, _sets(docs, classes, seen)), "simhash-links")
+        roots = materialise(connected_components(links), "simhash-roots")
+        # The smallest node of a component has no row of its own there.
+        rooted = roots.select("node", F.col("component").alias("root")).unionByName(roots.select(F.col("component").alias("node"), F.col("component").alias("root")).distinct())
+        rooted = classes.join(rooted, "node", "left")
+        pairs = materialise(_possible(candidates(rooted, hot_rows), classes), "candidates")
+        sets = materialise(_sets(docs, classes, pairs), "whole-sets")
+        # Of the rest, the first look takes one star for each set; the second judges all pairs that are still apart.
+        stars = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
+        links = materialise(links.unionByName(stars), "star-links")
+        near = materialise(connected_components(links), "star-roots")
+        a = near.select(F.col("node").alias("a"), F.col("component").alias("root_a"))
+        b = near.select(F.col("node").alias("b"), F.col("component").alias("root_b"))
+        apart = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        roots = materialise(connected_components(links.unionByName(_verified(apart, sets))), "set-roots")
+        rooted = classes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root"))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
+        return keep(materialise(ids.join(named, "node").select("doc_id", "component_id"), "set-components"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

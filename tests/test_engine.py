@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stemma.engine import Engine
 from stemma.operators import associate as A
+from stemma.operators import blocks as B
 from stemma.operators import documents as D
 from stemma.operators import index as I
 from stemma.operators import search as S
@@ -170,6 +171,25 @@ def test_search_against_plain(spark, shards):
         S.check_query("short", config)
 
 
+@pytest.mark.parametrize("width,shards,block", [(12, 2, 300), (24, 4, 300), (30, 1, 1 << 23), (64, 2, 300)])
+def test_search_of_texts_is_that_of_their_index(spark, monkeypatch, width, shards, block):
+    """Texts of which there is no index are searched in pairs of blocks; only strong tallies leave a task."""
+    config = replace(SMALL, hash_width=width, shards=shards, min_hits=4)
+    rng = random.Random(width)
+    docs = documents(spark, [(1 + i % 3, i + 1, " ".join(rng.choice(["river", "stone", "winter", "copper"]) for _ in range(rng.randint(1, 30)))) for i in range(40)])
+    queries = docs.where("docid % 4 = 0").select(F.col("docid").alias("query_id"), "text", F.col("doctype").alias("own_doctype"), F.col("docid").alias("own_docid"))
+    monkeypatch.setattr(B, "BLOCK", block)
+    for own in (False, True):
+        rows = lambda df: sorted(tuple(r) for r in df.drop("stddev").withColumns({c: F.round(c, 9) for c in ("mean", "score")}).select(sorted(df.drop("stddev").columns)).collect())
+        got = rows(S.search_texts(queries, docs, config, "1:3", own))
+        assert got == rows(S.search(queries, I.build_index(docs, config), config, "1:3", own)) and len(got) > 50
+    assert S.text_tallies(queries, docs, config).agg(F.min("count")).first()[0] >= 4
+    texts = [r["text"].upper() for r in docs.collect()]
+    whole = [x.tolist() for x in B.Probes(texts, config).strong(texts[0] * 3)]
+    monkeypatch.setattr(B, "HITS", 50)
+    assert [x.tolist() for x in B.Probes(texts, config).strong(texts[0] * 3)] == whole and whole[0]
+
+
 @pytest.mark.parametrize("width,shards", [(64, 1), (64, 4), (40, 4)])
 def test_wide_hashes(spark, width, shards):
     """Wide hashes find what narrow ones find, without the documents that only share a hash."""

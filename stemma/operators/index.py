@@ -32,6 +32,18 @@ def build_index(documents: DataFrame, config: EngineConfig) -> DataFrame:
     return exploded(texts, KEY, "text", lambda t: (np.unique(window_hashes(t, window, width)),), [("hash", "long")]).select("hash", *KEY)
 
 
+def posting_counts(documents: DataFrame, config: EngineConfig) -> DataFrame:
+    """How many postings ``build_index`` makes of each document that has any: doctype, docid, postings. None is made."""
+    window, width = config.window, config.hash_width
+    texts = documents.select(*KEY, normalise(F.col("text")).alias("text"))
+
+    def count(text: str):
+        n = len(np.unique(window_hashes(text, window, width)))
+        return (np.full(min(n, 1), n, np.int64),)
+
+    return exploded(texts, KEY, "text", count, [("postings", "long")])
+
+
 def add_to_index(postings: DataFrame, documents: DataFrame, config: EngineConfig) -> DataFrame:
     """The index after documents are added or replaced; what they held before goes."""
     return delete_from_index(postings, documents).unionByName(build_index(documents, config))

@@ -214,6 +214,14 @@ def test_index_round_trip(spark):
     assert capped.count() == 0
 
 
+def test_posting_counts_are_those_of_the_index(spark):
+    """One row leaves a task for each document, not for each posting."""
+    docs = documents(spark, [(1, 1, "abcdefghijklmnop" * 3), (1, 2, "abcdefghijklxyz"), (2, 1, "short"), (2, 2, "abcdefgh"), (2, 3, "abcdefghi")])
+    rows = I.posting_counts(docs, SMALL).collect()
+    expected = {(r["doctype"], r["docid"]): r["count"] for r in I.build_index(docs, SMALL).groupBy("doctype", "docid").count().collect()}
+    assert len(rows) == len(expected) == 3 and {(r["doctype"], r["docid"]): r["postings"] for r in rows} == expected
+
+
 def test_posting_line_bytes(spark):
     """A line's bytes as ids are added one after the other."""
     steps = [(1, 1), (1, 2), (1, 300), (1, 301), (2, 1), (2, 200000), (300, 5)]

@@ -103,9 +103,43 @@ def lowest_postings(postings: DataFrame, start: int, limit: int) -> DataFrame:
     return postings.where(F.col("hash") >= start).select("hash", *KEY).mapInArrow(run, "hash long, doctype long, docid long")
 
 
+def lowest_of_texts(documents: DataFrame, config: EngineConfig, start: int, limit: int) -> DataFrame:
+    """``lowest_postings`` of documents of which there is no index: other postings are never made."""
+    window, width = config.window, config.hash_width
+
+    def run(batches):
+        held, top = np.empty((3, 0), np.int64), None
+        for batch in batches:
+            parts = [held]
+            for doctype, docid, text in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = window_hashes(text, window, width)
+                own = np.unique(hashes[(hashes >= start) & (hashes <= top)] if top is not None else hashes[hashes >= start])
+                if len(own):
+                    parts.append(np.stack((own, np.full(len(own), doctype), np.full(len(own), docid))))
+            held = np.concatenate(parts, axis=1)
+            lowest = np.unique(held[0])[:limit]
+            held = held[:, held[0] <= lowest[-1]] if len(lowest) else held[:, :0]
+            top = lowest[-1] if 0 < len(lowest) == limit else None
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["hash", *KEY])
+
+    def small(batches):
+        yield from run(batch.slice(at, 64) for batch in batches for at in range(0, batch.num_rows, 64))
+
+    return documents.select(*KEY, normalise(F.col("text")).alias("text")).mapInArrow(small, "hash long, doctype long, docid long")
+
+
 def list_index(postings: DataFrame, start: int = 0, limit: int = 100) -> DataFrame:
     """Lines of the ``limit`` lowest hashes from ``start`` on; lines of other hashes are never built."""
-    own = materialise(lowest_postings(postings, start, limit), "lowest-postings")
+    return _lowest_lines(lowest_postings(postings, start, limit), limit)
+
+
+def list_texts(documents: DataFrame, config: EngineConfig, start: int = 0, limit: int = 100) -> DataFrame:
+    """``list_index`` of documents of which there is no index, with the same rows."""
+    return _lowest_lines(lowest_of_texts(documents, config, start, limit), limit)
+
+
+def _lowest_lines(lowest: DataFrame, limit: int) -> DataFrame:
+    own = materialise(lowest, "lowest-postings")
     chosen = F.broadcast(own.select("hash").distinct().orderBy("hash").limit(limit))
     return posting_lines(own.join(chosen, "hash", "left_semi")).orderBy("hash")
 

@@ -222,6 +222,17 @@ def test_posting_counts_are_those_of_the_index(spark):
     assert len(rows) == len(expected) == 3 and {(r["doctype"], r["docid"]): r["postings"] for r in rows} == expected
 
 
+@pytest.mark.parametrize("start,limit", [(0, 5), (5_000_000, 20), (0, 10_000), ((1 << 24) - 1, 3)])
+def test_lines_of_texts_are_those_of_their_index(spark, start, limit):
+    """A task gives away the postings of its lowest hashes only."""
+    rng = random.Random(limit)
+    docs = documents(spark, [(1 + i % 2, i + 1, "".join(rng.choice("abc ") for _ in range(200)) + "x" * (i % 30)) for i in range(150)])
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    assert rows(I.list_texts(docs, SMALL, start, limit)) == rows(I.list_index(I.build_index(docs, SMALL), start, limit))
+    low = I.lowest_of_texts(docs, SMALL, start, limit).groupBy(F.spark_partition_id()).agg(F.countDistinct("hash").alias("n"))
+    assert all(r["n"] <= limit for r in low.collect())
+
+
 def test_posting_line_bytes(spark):
     """A line's bytes as ids are added one after the other."""
     steps = [(1, 1), (1, 2), (1, 300), (1, 301), (2, 1), (2, 200000), (300, 5)]

@@ -86,9 +86,101 @@ def line_stats(postings: DataFrame, config: EngineConfig, full: int = 255) -> Da
         F.count(F.lit(1)).alias("lines"), F.sum("bytes").alias("bytes"), F.sum("n").alias("postings"),
         F.count_if(over).alias("saturated"), F.coalesce(F.sum(F.when(over, F.col("n"))), F.lit(0)).alias("ignored"),
     )
+    return _with_percent(made)
+
+
+def _with_percent(made: DataFrame) -> DataFrame:
     return made.withColumn("ignored_percent", F.round(100 * F.col("ignored") / F.col("postings"), 6))
 
 
+#: Bits of a hash inside one bucket of packed postings, and of those that are looked at together; postings of a pack.
+LOW, PART, PACK = 16, 12, 1 << 22
+_SUMS = ["lines", "bytes", "postings", "saturated", "ignored"]
+
+
+def text_line_stats(documents: DataFrame, config: EngineConfig, full: int = 255) -> DataFrame:
+    """``line_stats`` of documents of which there is no index, with the same rows.
+
+    A task packs the postings of some documents by buckets of hashes, as steps between
+    hashes and places in a list of the documents; the packs are all that is shuffled.
+    """
+    if not LOW <= config.hash_width <= LOW + 8 or config.shard_size < 1 << LOW:
+        return line_stats(build_index(documents, config), config, full)
+    window, width = config.window, config.hash_width
+
+    def pack(docs, made):
+        hashes = np.concatenate(made)
+        both = hashes << 32 | np.repeat(np.arange(len(made)), [len(m) for m in made])
+        both.sort()
+        hashes, doc = both >> 32, (both & 0xFFFFFFFF).astype(np.uint32)
+        used, begin = np.unique(hashes >> LOW, return_index=True)
+        packs, ends = [], [*begin[1:].tolist(), len(both)]
+        for b, e in zip(begin.tolist(), ends):
+            seen, own = np.unique(doc[b:e], return_inverse=True)
+            low = np.diff(hashes[b:e] & ((1 << LOW) - 1), prepend=0).astype(np.uint16)
+            table = pa.table({"low": [low.tobytes()], "doc": [own.astype(np.uint16 if len(seen) <= 1 << 16 else np.uint32).tobytes()], "wide": [len(seen) > 1 << 16], "keys": [docs[:, seen].tobytes()]})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table)
+            packs.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(packs, pa.binary())], names=["bucket", "pack"])
+
+    def packs(batches):
+        keys, made, n = [], [], 0
+        for batch in batches:
+            for doctype, docid, text in zip(*(batch.column(i) for i in range(3))):
+                hashes = np.unique(window_hashes(text.as_py(), window, width))
+                if len(hashes):
+                    keys.append((doctype.as_py(), docid.as_py()))
+                    made.append(hashes)
+                    n += len(hashes)
+                if n >= PACK:
+                    yield pack(np.array(keys, np.int64).T, made)
+                    keys, made, n = [], [], 0
+        if made:
+            yield pack(np.array(keys, np.int64).T, made)
+
+    def sums(group):
+        parts = [pa.ipc.open_stream(x.as_py()).read_all().to_pylist()[0] for x in group["pack"]]
+        docs = [np.frombuffer(x["keys"], np.int64).reshape(2, -1) for x in parts]
+        known, rank = np.unique(np.concatenate(docs, axis=1), axis=1, return_inverse=True)
+        rank, at = rank.reshape(-1), np.cumsum([0, *(d.shape[1] for d in docs)])
+        low = [np.cumsum(np.frombuffer(x["low"], np.uint16).astype(np.int64)) for x in parts]
+        doc = [np.frombuffer(x["doc"], np.uint32 if x["wide"] else np.uint16) for x in parts]
+        total = np.zeros(len(_SUMS), np.int64)
+        for first in range(0, 1 << LOW, 1 << PART):
+            both = []
+            for i, l in enumerate(low):
+                b, e = np.searchsorted(l, (first, first + (1 << PART)))
+                both.append(l[b:e] << 40 | rank[at[i] + doc[i][b:e].astype(np.int64)])
+            both = np.concatenate(both)
+            if not len(both):
+                continue
+            both.sort()
+            hashes, (doctype, docid) = both >> 40, known[:, both & ((1 << 40) - 1)]
+            line = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            kind = line.copy()
+            kind[1:] |= doctype[1:] != doctype[:-1]
+            delta = docid.copy()
+            delta[1:] -= np.where(kind[1:], 0, docid[:-1])
+            begin = np.flatnonzero(kind)
+            size = np.add.reduceat(_varint_lengths(delta), begin)
+            own, begin = _varint_lengths(doctype[begin]) + _varint_lengths(size) + size, np.flatnonzero(line[begin])
+            length, n = 1 + np.add.reduceat(own, begin), np.diff(np.append(np.flatnonzero(line), len(both)))
+            over = length >= full
+            total += [len(n), length.sum(), n.sum(), over.sum(), n[over].sum()]
+        shards = group["bucket"][0].as_py() // (config.shard_size >> LOW)
+        return pa.table({"shard": pa.array([shards], pa.int64())} | {c: pa.array([int(v)], pa.int64()) for c, v in zip(_SUMS, total)})
+
+    texts = documents.select(*KEY, normalise(F.col("text")).alias("text"))
+    made = texts.mapInArrow(packs, "bucket long, pack binary").groupBy("bucket").applyInArrow(sums, ", ".join(f"{c} long" for c in ("shard", *_SUMS)))
+    return _with_percent(made.groupBy("shard").agg(*(F.sum(c).alias(c) for c in _SUMS)))
+
+
+def _varint_lengths(values: np.ndarray) -> np.ndarray:
+    return 1 + sum((values >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
+
+
 def lowest_postings(postings: DataFrame, start: int, limit: int) -> DataFrame:
     """Each task's postings of its ``limit`` lowest different hashes from ``start`` on, read once."""
 

@@ -233,6 +233,18 @@ def test_lines_of_texts_are_those_of_their_index(spark, start, limit):
     assert all(r["n"] <= limit for r in low.collect())
 
 
+def test_line_stats_of_texts_are_those_of_their_index(spark):
+    """Packs of postings are shuffled, a row for each bucket of hashes and not for each posting."""
+    rng = random.Random(3)
+    rows = [(1 + i % 300, 1 + i * 97, "".join(rng.choice("abc ") for _ in range(200)) + "x" * (i % 30)) for i in range(400)]
+    for width in (16, 20, 24):
+        config = replace(SMALL, hash_width=width, shards=1 if width == 16 else 2)
+        docs = documents(spark, rows)
+        got = sorted(tuple(r) for r in I.text_line_stats(docs, config, 40).collect())
+        assert got == sorted(tuple(r) for r in I.line_stats(I.build_index(docs, config), config, 40).collect())
+        assert sum(r[4] for r in got) > 0
+
+
 def test_posting_line_bytes(spark):
     """A line's bytes as ids are added one after the other."""
     steps = [(1, 1), (1, 2), (1, 300), (1, 301), (2, 1), (2, 200000), (300, 5)]
